@@ -34,56 +34,60 @@ MONTHS = {
 }
 
 _ZONE = r"(?: ?(Z|[A-Z]{2,4}|(?:UTC|GMT)?[+-]\d{2}(?::?\d{2})?)(?:\[[\w/+-]+\])?)?"
-_CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?(?: ?([AaPp][Mm]))?"
+_CLOCK = r"(\d{1,2}:\d{2})(:\d{2})?(?:[.,](\d{1,9}))?(?: ?([AaPp][Mm]))?"
+_TAIL = "T$4$5.$6|$7|$8"
 
-#: (pattern, order): the groups are rewritten to year|month|day|hour|minute|second|fraction|half|zone.
+#: (pattern, order): a value is rewritten to year-month-dayThour:minute:second.fraction|half|zone.
+#: In slash dates, whose order the source decides, DAY and MONTH stand for the groups.
 CASCADE: list[tuple[str, str]] = [
-    (rf"^(\d{{4}})-(\d{{2}})-(\d{{2}})[T ]{_CLOCK}{_ZONE}$", "$1|$2|$3|$4|$5|$6|$7|$8|$9"),
-    (r"^(\d{4})-(\d{2})-(\d{2})$", "$1|$2|$3||||||"),
-    (rf"^(\d{{4}})/(\d{{2}})/(\d{{2}})(?:[T ]{_CLOCK}{_ZONE})?$", "$1|$2|$3|$4|$5|$6|$7|$8|$9"),
-    (rf"^(\d{{1,2}})\.(\d{{1,2}})\.(\d{{4}})(?:,? {_CLOCK}{_ZONE})?$", "$3|$2|$1|$4|$5|$6|$7|$8|$9"),
-    (rf"^(\d{{1,2}})\.(\d{{1,2}})\.(\d{{2}})(?:,? {_CLOCK}{_ZONE})?$", "20$3|$2|$1|$4|$5|$6|$7|$8|$9"),
-    (rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}})(?:,? {_CLOCK}{_ZONE})?$", "SLASH$3"),
-    (rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{2}})(?:,? {_CLOCK}{_ZONE})?$", "SLASH20$3"),
-    (r"^(\d{4})(\d{2})(\d{2})(?:T?(\d{2})(\d{2})(\d{2})(Z?))$", "$1|$2|$3|$4|$5|$6|||$7"),
-    (r"^(\d{4})(\d{2})(\d{2})$", "$1|$2|$3||||||"),
-    (rf"^(?:\p{{L}}{{3,9}}, )?(\d{{1,2}}) (\p{{L}}{{3,9}})\.? (\d{{4}})(?: г\.?)?(?:,? {_CLOCK}{_ZONE})?$",
-     "$3|$2|$1|$4|$5|$6|$7|$8|$9"),
-    (rf"^(\p{{L}}{{3,9}})\.? (\d{{1,2}}), (\d{{4}})(?:,? {_CLOCK}{_ZONE})?$", "$3|$1|$2|$4|$5|$6|$7|$8|$9"),
+    (rf"^(\d{{4}})-(\d{{2}})-(\d{{2}})[T ]{_CLOCK}{_ZONE}$", f"$1-$2-$3{_TAIL}"),
+    (r"^(\d{4})-(\d{2})-(\d{2})$", "$1-$2-$3T.||"),
+    (rf"^(\d{{1,2}})\.(\d{{1,2}})\.(\d{{4}})(?:,? {_CLOCK}{_ZONE})?$", f"$3-$2-$1{_TAIL}"),
+    (rf"^(\d{{1,2}})\.(\d{{1,2}})\.(\d{{2}})(?:,? {_CLOCK}{_ZONE})?$", f"20$3-$2-$1{_TAIL}"),
+    (r"^(\d{4})(\d{2})(\d{2})T?(\d{2})(\d{2})(\d{2})(Z?)$", "$1-$2-$3T$4:$5:$6.||$7"),
+    (rf"^(\d{{4}})/(\d{{2}})/(\d{{2}})(?:[T ]{_CLOCK}{_ZONE})?$", f"$1-$2-$3{_TAIL}"),
+    (rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}})(?:,? {_CLOCK}{_ZONE})?$", f"$3-MONTH-DAY{_TAIL}"),
+    (rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{2}})(?:,? {_CLOCK}{_ZONE})?$", f"20$3-MONTH-DAY{_TAIL}"),
+    (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3T.||"),
 ]
+_NAME = r"(\p{L}{3})\p{L}{0,7}"
+#: The same for dates with a month's name, whose number is put in afterwards.
+NAMED: list[tuple[str, str]] = [
+    (rf"^(?:\p{{L}}{{2,9}}, )?(\d{{1,2}}) {_NAME}\.? (\d{{4}})(?: г\.?)?(?:,? {_CLOCK}{_ZONE})?$", f"$3-$2-$1{_TAIL}"),
+    (rf"^{_NAME}\.? (\d{{1,2}}), (\d{{4}})(?:,? {_CLOCK}{_ZONE})?$", f"$3-$1-$2{_TAIL}"),
+]
 _EPOCH = r"^(\d{10}(?:\.\d{1,9})?|\d{13}|\d{16})$"
 _SHEET = r"^\d{5}(?:\.\d{1,12})?$"
-_DAY_US = 86_400_000_000
 _SHEET_ZERO = 25_569  # days from 1899-12-30 to 1970-01-01
+_HALF_DAY_US = 43_200_000_000
 #: Lengths by which clocks are set back in the IANA data since 1970.
 _SET_BACK_MINUTES = (60, 30, 20, 120, 180, 1440)
 
 
-def _int(c: Column) -> Column:
-    """Groups hold digits or nothing; a failed ``try_cast`` costs an exception for each row."""
-    return F.when(c.rlike(r"^\d{1,9}$"), c.cast("int")).otherwise(0)
+def _lookup(values: dict[str, int], key: Column) -> Column:
+    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[key]
 
 
-def _fields(t: Column, day_first: Column) -> Column:
-    """year|month|day|hour|minute|second|fraction|half|zone of a value, or null."""
-    rest = "|$4|$5|$6|$7|$8|$9"
-    out = None
+def _rewritten(t: Column, day_first: Column) -> Column:
+    """The value in the one order that the cast reads, with half and zone behind, or null."""
+    out = F.when(t.isNull(), F.lit(None).cast("string"))
     for pattern, order in CASCADE:
-        if order.startswith("SLASH"):
-            year = order[5:]
-            read = F.when(day_first, F.regexp_replace(t, pattern, f"{year}|$2|$1{rest}")).otherwise(
-                F.regexp_replace(t, pattern, f"{year}|$1|$2{rest}")
-            )
-        else:
-            read = F.regexp_replace(t, pattern, order)
-        out = F.when(t.rlike(pattern), read) if out is None else out.when(t.rlike(pattern), read)
+        read = lambda day, month, p=pattern, o=order: F.regexp_replace(t, p, o.replace("DAY", day).replace("MONTH", month))
+        out = out.when(
+            t.rlike(pattern),
+            F.when(day_first, read("$1", "$2")).otherwise(read("$2", "$1")) if "DAY" in order else read("", ""),
+        )
+    letters = t.rlike(r"^(?:\p{L}{2,9}, )?\d{1,2} \p{L}|^\p{L}")
+    for pattern, order in NAMED:
+        read = F.regexp_replace(t, pattern, order)
+        number = _lookup(MONTHS, F.lower(F.substring_index(F.substring_index(read, "-", 2), "-", -1)))
+        out = out.when(
+            letters & t.rlike(pattern),
+            F.concat(F.substring_index(read, "-", 1), F.lit("-"), number.cast("string"), F.regexp_replace(read, r"^\d+-[^-]+", "")),
+        )
     return out
 
 
-def _lookup(values: dict[str, int], key: Column) -> Column:
-    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[key]
-
-
 def normalise_timestamps(
     df: DataFrame,
     zones: DataFrame,
@@ -128,54 +132,45 @@ def normalise_timestamps(
     kept = [c for c in df.columns if c != out_col]
     joined = df.join(bounded_broadcast(side, max_zone_rows), df[source_col] == F.col("__sw_source"), "left")
 
-    t = strip_ws(F.col(ts_col))
     day_first = F.coalesce(F.col("__sw_day_first"), F.lit(default_day_first))
-    step = joined.withColumn("__sw_t", t).withColumn("__sw_f", F.split(_fields(F.col("__sw_t"), day_first), r"\|"))
-
-    f = lambda i: F.get(F.col("__sw_f"), F.lit(i))
-    month = F.when(f(1).rlike(r"^\d"), f(1).cast("int")).otherwise(
-        _lookup(MONTHS, F.lower(F.substring(f(1), 1, 3)))
-    )
-    month = F.when(month.between(1, 12), month)
-    date = F.concat_ws("-", f(0), F.lpad(month.cast("string"), 2, "0"), F.lpad(f(2), 2, "0")).try_cast("date")
-    half = F.upper(f(7))
-    raw_hour = _int(f(3))
-    hour = F.when(half == "", raw_hour).when(
-        raw_hour.between(1, 12), raw_hour % 12 + F.when(half == "PM", 12).otherwise(0)
-    )
-    minute, second = _int(f(4)), _int(f(5))
-    micros = F.rpad(F.substring(f(6), 1, 6), 6, "0").cast("int")
-    fields_us = F.when(
-        month.isNotNull() & (hour < 24) & (minute < 60) & (second < 60),
-        F.unix_date(date).cast("long") * _DAY_US
-        + (hour * 3600 + minute * 60 + second).cast("long") * 1_000_000
-        + micros,
-    )
-    zone = f(8)
-    offset_text = F.regexp_replace(zone, "^(UTC|GMT)(?=[+-])", "")
-    sign = F.when(F.substring(offset_text, 1, 1) == "-", -1).otherwise(1)
-    off_h = _int(F.substring(offset_text, 2, 2))
-    off_m = _int(F.right(F.regexp_replace(offset_text, ":", ""), F.lit(2)))
-    numeric = sign * (off_h * 60 + F.when(F.length(offset_text) > 3, off_m).otherwise(0))
-    offset = F.when(
-        offset_text.rlike(r"^[+-]"), F.when((off_h <= 18) & (off_m < 60), numeric)
-    ).otherwise(_lookup(ZONE_MINUTES, zone))
-
-    tcol = F.col("__sw_t")
-    whole = tcol.rlike(r"^\d+$")
+    step = joined.withColumn("__sw_t", strip_ws(F.col(ts_col)))
+    t = F.col("__sw_t")
+    step = step.withColumn("__sw_parts", F.split(_rewritten(t, day_first), r"\|"))
+    part = lambda i: F.get(F.col("__sw_parts"), F.lit(i))
+
+    # A date alone means 00:00; absent seconds and fractions are zero.
+    clock = F.regexp_replace(part(0), r"\.$", ".0")
+    clock = F.regexp_replace(F.regexp_replace(clock, r"T\.", "T00:00:00."), r"(T\d{1,2}:\d{2})\.", "$1:00.")
+    readable = clock.rlike(r"T(?:[01]?\d|2[0-3]):[0-5]\d:[0-5]\d\.\d+$")
+    fields_us = F.unix_micros(F.when(readable, F.concat(clock, F.lit("Z")).try_cast("timestamp")))
+    whole = t.rlike(r"^\d+$")
     epoch = (
-        F.when(whole & (F.length(tcol) == 16), tcol.cast("long"))
-        .when(whole & (F.length(tcol) == 13), tcol.cast("long") * 1000)
-        .otherwise(F.floor(tcol.cast("decimal(19,9)") * 1_000_000).cast("long"))
+        F.when(whole & (F.length(t) == 16), t.cast("long"))
+        .when(whole & (F.length(t) == 13), t.cast("long") * 1000)
+        .otherwise(F.floor(t.cast("decimal(19,9)") * 1_000_000).cast("long"))
     )
-    sheet_us = (F.round(tcol.cast("decimal(28,12)") * 86_400, 0).cast("long") - _SHEET_ZERO * 86_400) * 1_000_000
+    sheet_us = (F.round(t.cast("decimal(28,12)") * 86_400, 0).cast("long") - _SHEET_ZERO * 86_400) * 1_000_000
+    zone = F.regexp_replace(part(2), r"^(UTC|GMT)(?=[+-])|:", "")
+    digits = F.rpad(F.substring(zone, 2, 4), 4, "0").cast("int")
+    minutes = F.floor(digits / 100) * 60 + digits % 100
+    offset = F.when(
+        zone.rlike(r"^[+-](?:0\d|1[0-8])(?:[0-5]\d)?$"), F.when(zone.startswith("-"), -minutes).otherwise(minutes)
+    ).when(~zone.rlike("^[+-]"), _lookup(ZONE_MINUTES, zone))
 
     step = (
-        step.withColumn("__sw_epoch", F.when(tcol.rlike(_EPOCH), epoch))
-        .withColumn("__sw_wall", F.when(tcol.rlike(_SHEET), sheet_us).otherwise(fields_us))
-        .withColumn("__sw_zoned", F.coalesce(zone, F.lit("")) != "")
+        step.withColumn("__sw_epoch", F.when(t.rlike(_EPOCH), epoch))
+        .withColumn("__sw_wall", F.when(t.rlike(_SHEET), sheet_us).otherwise(fields_us))
+        .withColumn("__sw_hour", F.regexp_extract(part(0), r"T(\d{1,2}):", 1))
+        .withColumn("__sw_half", F.upper(part(1)))
+        .withColumn("__sw_zoned", F.coalesce(part(2), F.lit("")) != "")
         .withColumn("__sw_offset", offset)
     )
+    hour, half = F.col("__sw_hour"), F.coalesce(F.col("__sw_half"), F.lit(""))
+    in_half = F.when(half == "", 0).when(
+        hour.rlike("^(0?[1-9]|1[0-2])$"),
+        F.when((half == "PM") & (hour != "12"), _HALF_DAY_US).when((half == "AM") & (hour == "12"), -_HALF_DAY_US).otherwise(0),
+    )
+    step = step.withColumn("__sw_wall", F.col("__sw_wall") + in_half)
     wall = F.col("__sw_wall")
     tz = F.coalesce(F.col("__sw_tz"), F.lit(default_zone))
     utc = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(wall), tz))
@@ -192,4 +187,5 @@ def normalise_timestamps(
         F.col("__sw_epoch"),
         F.when(F.col("__sw_zoned"), wall - F.col("__sw_offset").cast("long") * 60_000_000).otherwise(local),
     )
-    return step.select(*[F.col(f"`{c}`") for c in kept], instant.alias(out_col))
+    # Through explode, so that a filter on the result isn't rewritten in terms of the whole cascade.
+    return step.select(*[F.col(f"`{c}`") for c in kept], F.explode(F.array(instant)).alias(out_col))
