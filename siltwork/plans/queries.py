@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siltwork.operators.schema_drift import schema_changes, unified_records
 from siltwork.operators.timestamps import normalise_timestamps
 from siltwork.session import table
 
@@ -17,7 +18,19 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalise_timestamps(df, zones).where("ts_us IS NOT NULL").select("row_id", "ts_us")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every change of a file's fields against the file before it."""
+    return schema_changes(table(spark, sf_dir, "raw_file"), table(spark, sf_dir, "raw_line"))
+
+
+def p2_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All readable raw lines as one table with steady columns."""
+    return unified_records(table(spark, sf_dir, "raw_file"), table(spark, sf_dir, "raw_line"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
+    "p2_table": p2_table,
     "p7_found": p7_found,
 }
 SQL: dict[str, str] = {}
