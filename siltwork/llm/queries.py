@@ -9,12 +9,36 @@ from pyspark.sql import functions as F
 
 from siltwork.functions.text import DOMAINS, canonical_domain
 from siltwork.llm.capping import cap_contributors, valid_score
+from siltwork.llm.consensus import annotation_votes, consensus
 from siltwork.llm.encoding import encode_corpus
 from siltwork.llm.formatting_duplicates import collapse_duplicates, duplicate_members
+from siltwork.llm.grouped_splits import grouped_split, related_users
 from siltwork.llm.leakage import find_leaks
 from siltwork.session import table
 
 
+def _consensus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    votes = annotation_votes(table(spark, sf_dir, "validation_result"), table(spark, sf_dir, "review_item"))
+    items = table(spark, sf_dir, "validation_result").select(F.col("id").alias("item")).distinct()
+    return consensus(votes.join(items, "item", "left_semi"), classes=DOMAINS)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The domain of every validated item."""
+    items, _ = _consensus(spark, sf_dir)
+    return items.select(F.col("item").alias("id"), F.coalesce("label", F.lit("oos")).alias("domain"))
+
+
+def p1_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domain, its probability and the agreement of the labels of every item."""
+    return _consensus(spark, sf_dir)[0].withColumnRenamed("item", "id")
+
+
+def p1_annotators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reliability and community of every labeller run and reviewer."""
+    return _consensus(spark, sf_dir)[1]
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each record that repeats another but for formatting, with the first of its group."""
     df = table(spark, sf_dir, "processed_record").select("row_id", "text")
@@ -31,6 +55,24 @@ def p4_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of users whose records must land in the same split."""
+    records = table(spark, sf_dir, "processed_record").select("row_id", "user_id", "text")
+    return related_users(records, table(spark, sf_dir, "augmentation_result"))
+
+
+def p5_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Split of every record: 80 % train, 10 % validation, 10 % test, no group divided."""
+    records = table(spark, sf_dir, "processed_record").select("row_id", "user_id", "text")
+    labels = table(spark, sf_dir, "classification_result").groupBy("row_id").agg(
+        F.min(canonical_domain(F.col("domain_true"))).alias("label")
+    )
+    return grouped_split(
+        records, table(spark, sf_dir, "augmentation_result"), labels,
+        proportions={"train": 0.8, "validation": 0.1, "test": 0.1}, classes=DOMAINS,
+    )
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows kept if no domain has more than 12 % of all rows."""
     df = table(spark, sf_dir, "classification_result").select("result_id", "domain_id", "confidence")
@@ -57,8 +99,13 @@ def p9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_items": p1_items,
+    "p1_annotators": p1_annotators,
     "p4_found": p4_found,
     "p4_copies": p4_copies,
+    "p5_found": p5_found,
+    "p5_split": p5_split,
     "p6_found": p6_found,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
@@ -91,6 +138,23 @@ SQL: dict[str, str] = {
         WITH {_CANON}, firsts AS (SELECT row_id, min(row_id) OVER (PARTITION BY c) AS first_row_id FROM canon)
         SELECT first_row_id, row_id FROM firsts WHERE row_id <> first_row_id""",
     "p4_copies": f"WITH {_CANON} SELECT min(row_id) AS first_row_id, count(*) AS copies FROM canon GROUP BY c",
+    "p5_found": r"""
+        WITH RECURSIVE norm AS (
+            SELECT nullif(lower(regexp_replace(user_id, '^[\s\x{a0}]+|[\s\x{a0}]+$', '', 'g')), '') AS u,
+                lower(trim(regexp_replace(text, '[\s\x{a0}\x{2000}-\x{200a}\x{202f}\x{3000}]+', ' ', 'g'))) AS t
+            FROM processed_record WHERE text IS NOT NULL),
+        aug AS (
+            SELECT DISTINCT aug_id, lower(trim(regexp_replace(x, '[\s\x{a0}\x{2000}-\x{200a}\x{202f}\x{3000}]+', ' ', 'g'))) AS t
+            FROM (SELECT aug_id, unnest(list_concat([original_text], coalesce(variants, []))) AS x FROM augmentation_result)
+            WHERE x IS NOT NULL),
+        borne AS (SELECT DISTINCT aug_id, t FROM aug WHERE t IN (SELECT t FROM norm)),
+        home AS (SELECT t, 'g' || min(aug_id) AS h FROM borne GROUP BY t),
+        e AS (
+            SELECT h AS a, 'g' || aug_id AS b FROM borne JOIN home USING (t)
+            UNION SELECT 'u' || u, h FROM norm JOIN home USING (t) WHERE u IS NOT NULL),
+        link AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+        reach AS (SELECT a AS s, a AS n FROM link WHERE a LIKE 'u%' UNION SELECT s, b FROM reach JOIN link ON a = n)
+        SELECT DISTINCT substr(s, 2) AS user_a, substr(n, 2) AS user_b FROM reach WHERE n LIKE 'u%' AND substr(s, 2) < substr(n, 2)""",
     "p6_found": f"""
         WITH x AS (SELECT result_id, CASE WHEN {_LABEL} IN {DOMAINS} THEN {_LABEL} ELSE 'oos' END AS d,
                 CASE WHEN confidence BETWEEN 0 AND 1 AND NOT isnan(confidence) THEN confidence END AS s FROM classification_result),
