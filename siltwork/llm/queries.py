@@ -14,6 +14,7 @@ from siltwork.llm.encoding import encode_corpus
 from siltwork.llm.formatting_duplicates import collapse_duplicates, duplicate_members
 from siltwork.llm.grouped_splits import grouped_split, related_users
 from siltwork.llm.leakage import find_leaks
+from siltwork.llm.personal_data import personal_occurrences, redact_texts
 from siltwork.session import table
 
 
@@ -39,6 +40,30 @@ def p1_annotators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _consensus(spark, sf_dir)[1]
 
 
+#: Key of the pseudonyms in the queries below; a real one comes from the caller.
+DEMO_KEY = b"siltwork demo key"
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every personal datum in the texts of records and review items."""
+    out = None
+    for name, key in (("processed_record", "row_id"), ("review_item", "review_id")):
+        found = personal_occurrences(table(spark, sf_dir, name).select(key, "text"), id_col=key)
+        found = found.select(F.lit(name).alias("tbl"), "rec_id", "kind", "occ")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same texts with typed placeholders and linked pseudonyms."""
+    out = None
+    for name, key in (("processed_record", "row_id"), ("review_item", "review_id")):
+        texts = redact_texts(table(spark, sf_dir, name).select(key, "text"), key=DEMO_KEY, id_col=key)
+        texts = texts.select(F.lit(name).alias("tbl"), "rec_id", "text")
+        out = texts if out is None else out.unionByName(texts)
+    return out
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each record that repeats another but for formatting, with the first of its group."""
     df = table(spark, sf_dir, "processed_record").select("row_id", "text")
@@ -102,6 +127,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_items": p1_items,
     "p1_annotators": p1_annotators,
+    "p3_found": p3_found,
+    "p3_redacted": p3_redacted,
     "p4_found": p4_found,
     "p4_copies": p4_copies,
     "p5_found": p5_found,
