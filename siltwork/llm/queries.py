@@ -15,6 +15,7 @@ from siltwork.llm.formatting_duplicates import collapse_duplicates, duplicate_me
 from siltwork.llm.grouped_splits import grouped_split, related_users
 from siltwork.llm.leakage import find_leaks
 from siltwork.llm.personal_data import personal_occurrences, redact_texts
+from siltwork.llm.sentences import sentences
 from siltwork.session import table
 
 
@@ -123,6 +124,11 @@ def p9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"), max_edits=3)
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence of every document, by position."""
+    return sentences(table(spark, sf_dir, "documents").select("doc_id", "text"), id_col="doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_items": p1_items,
@@ -137,6 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_near": p9_near,
+    "p10_found": p10_found,
 }
 
 _LABEL = r"regexp_replace(lower(domain_id), '^[\s\x{a0}]+|[\s\x{a0}]+$', '', 'g')"
