@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from siltwork.config import WriterConfig
+from siltwork.functions.taxonomy import is_stop_word, normalise_label, rule_label, soft_candidates, validate_domain
+from siltwork.functions.text import canonical_domain
+from siltwork.operators import dataset, etl, feedback, labels, similarity, versions
+from siltwork.operators.model_calls import cache_key, latest_entries, rule_classification
 from siltwork.operators.schema_drift import schema_changes, unified_records
 from siltwork.operators.timestamps import normalise_timestamps
+from siltwork.plans.sql import SQL  # noqa: F401 - part of the interface
 from siltwork.session import table
+from siltwork.sources import readers, sinks
+
+AS_OF = datetime.datetime(2024, 12, 31)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,9 +39,332 @@ def p2_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unified_records(table(spark, sf_dir, "raw_file"), table(spark, sf_dir, "raw_line"))
 
 
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "processed_record")
+
+
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classification results with a canonical domain and a confidence that is a number or null."""
+    df = table(spark, sf_dir, "classification_result")
+    ok = ~F.isnan("confidence") & F.col("confidence").between(0, 1)
+    return df.withColumn("domain", validate_domain(F.col("domain_id"))).withColumn("conf", F.when(ok, F.col("confidence")))
+
+
+def etl_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalised records, one for each text."""
+    out = etl.process_records(_records(spark, sf_dir).select("row_id", "text", "user_id", "source"))
+    return out.select("row_id", "text", "user_id", "source")
+
+
+def etl_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows read, kept, filtered, and duplicates."""
+    return etl.etl_statistics(_records(spark, sf_dir).select("row_id", "text"))
+
+
+def etl_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields found under their many names: orders with padded, capital headers as raw rows."""
+    raw = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias(" ROW_ID"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderpriority")).alias("Query_Text "),
+        F.col("o_orderstatus").alias("Message"), F.col("o_custkey").alias("CID"), F.col("o_totalprice").alias("price"),
+    )
+    raw = etl.normalise_headers(raw)
+    return raw.select("row_id", etl.extract_text(raw).alias("text"), etl.extract_user(raw).alias("user_id"), F.size(etl.extract_metadata(raw, ("row_id",))).cast("long").alias("n_metadata"))
+
+
+def etl_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of the records' metadata: keys with numbers of rows and of distinct values."""
+    rows = _records(spark, sf_dir).select(F.explode("metadata").alias("key", "value"))
+    return rows.groupBy("key").agg(F.count("*").alias("n"), F.countDistinct("value").alias("n_values"))
+
+
+def etl_domain_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule labels of the normalised records, counted."""
+    return etl_records(spark, sf_dir).groupBy(rule_label(F.col("text")).alias("label")).agg(F.count("*").alias("n"))
+
+
+def labels_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spellings of labels and what they stand for."""
+    df = table(spark, sf_dir, "classification_result")
+    return df.groupBy("domain_id", normalise_label(F.col("domain_id")).alias("normal"), validate_domain(F.col("domain_id")).alias("domain")).agg(F.count("*").alias("n"))
+
+
+def labels_stop_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that are nothing but a stop word."""
+    return _records(spark, sf_dir).where(is_stop_word(F.col("text"))).select("row_id", "text")
+
+
+def labels_soft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hints for each record."""
+    return _records(spark, sf_dir).select("row_id", F.array_join(soft_candidates(F.coalesce("text", F.lit("")), 3), ",").alias("hints"))
+
+
+def labels_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label and confidence by rules alone."""
+    c = rule_classification(F.coalesce("text", F.lit("")))
+    return _records(spark, sf_dir).select("row_id", c["label"].alias("label"), c["confidence"].alias("confidence"))
+
+
+def labels_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domain after a confident best candidate has replaced it."""
+    o = labels.override_by_candidate(F.col("domain_id"), F.col("conf"), F.col("top_candidates"))
+    return _results(spark, sf_dir).select("result_id", o["domain"].alias("domain"), o["confidence"].alias("confidence"))
+
+
+def low_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results that are too uncertain."""
+    return _results(spark, sf_dir).where("conf < 0.5").select("result_id", "domain", "conf")
+
+
+def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "validation_result").groupBy("id").agg(F.max("all_predictions").alias("p"))
+    return v.select("id", F.posexplode("p").alias("turn", "x")).select("id", "turn", validate_domain(F.col("x.domain")).alias("label"), F.col("x.confidence").alias("confidence"), F.col("x.temperature").alias("model"))
+
+
+def consensus_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Final label of every item by votes and rules."""
+    rules = table(spark, sf_dir, "validation_result").groupBy("id").agg(F.min("text").alias("t")).select("id", rule_label(F.col("t")).alias("rule"))
+    return labels.consensus_labels(_votes(spark, sf_dir), rules)
+
+
+def ensemble_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plurality of the labeller runs, the initial label left out."""
+    return labels.ensemble_labels(_votes(spark, sf_dir).where("model <> 'initial'"))
+
+
+def _calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    right = F.col("domain") == validate_domain(F.col("domain_true"))
+    return labels.calibration_table(_results(spark, sf_dir), label=F.col("domain"), confidence=F.col("conf"), correct=right)
+
+
+def calibration_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of right results by domain and tenth of confidence."""
+    return _calibration(spark, sf_dir)
+
+
+def calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confidence of every result as calibrated."""
+    out = labels.calibrate(_results(spark, sf_dir), _calibration(spark, sf_dir), label=F.col("domain"), confidence=F.col("conf"))
+    return out.select("result_id", "calibrated")
+
+
+def confidence_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spread of confidence by domain."""
+    return labels.confidence_summary(_results(spark, sf_dir), label=F.col("domain"), confidence=F.col("conf"), valid=F.col("conf") >= 0.5)
+
+
+def confusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most frequent confusions."""
+    return labels.confusions(_results(spark, sf_dir), predicted=F.col("domain"), truth=validate_domain(F.col("domain_true")))
+
+
+def quality_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by the reason why they can't be written."""
+    df = table(spark, sf_dir, "classification_result")
+    return df.groupBy(dataset.reject_reason(F.col("text"), F.col("domain_id")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+def _fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _results(spark, sf_dir).where(dataset.reject_reason(F.col("text"), F.col("domain_id")).isNull()).select("result_id", "text", "domain", "conf")
+
+
+def balanced_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and copies of a balanced data set."""
+    return dataset.balance(_fit(spark, sf_dir), id_col="result_id").select("result_id", "domain", F.col("copy").cast("long").alias("copy"))
+
+
+def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training and evaluation rows."""
+    return dataset.stratified_split(_fit(spark, sf_dir), id_col="result_id", config=WriterConfig(eval_fraction=0.1)).select("result_id", "domain", "split")
+
+
+def dataset_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of the labelled rows."""
+    return dataset.dataset_statistics(_fit(spark, sf_dir), confidence="conf")
+
+
+def dataset_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Their quality score, with the share of repeated texts."""
+    fit = _fit(spark, sf_dir)
+    share = fit.groupBy("text").agg(F.count("*").alias("n")).agg(F.try_divide(F.sum(F.col("n") - 1), F.sum("n")).alias("dup"))
+    stats = dataset.dataset_statistics(fit, confidence="conf").crossJoin(F.broadcast(share))  # two tables of one row
+    return dataset.dataset_score(stats, F.col("dup")).select("n_rows", "score", "issues")
+
+
+def source_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records by source."""
+    return _records(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"))
+
+
+def output_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows as they are written."""
+    return sinks.output_rows(_results(spark, sf_dir).select("text", "domain_true", "domain_id")).groupBy("label").agg(F.count("*").alias("n"))
+
+
+def sharded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of 777 rows: first and last row of each."""
+    out = sinks.with_shard(table(spark, sf_dir, "classification_result").select("result_id"), 777, "result_id")
+    return out.groupBy("shard").agg(F.count("*").alias("n"), F.min("result_id").alias("first"), F.max("result_id").alias("last"))
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each variant with its original; an id made of both."""
+    df = table(spark, sf_dir, "augmentation_result").where("original_text IS NOT NULL")
+    df = df.select("aug_id", F.col("original_text").alias("a"), F.posexplode("variants").alias("i", "b")).where("b IS NOT NULL")
+    return df.select(F.concat_ws("-", F.col("aug_id").cast("string"), F.col("i").cast("string")).alias("id"), "a", "b")
+
+
+def _fold(c: str) -> Column:
+    """ASCII letters, digits and spaces only: DuckDB measures distance in bytes."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9 ]", ""), " +", " "))
+
+
+def levenshtein_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edit distance, absolute and relative, of folded originals and variants."""
+    p = _pairs(spark, sf_dir).withColumn("a", _fold("a")).withColumn("b", _fold("b"))
+    return p.select("id", F.levenshtein("a", "b").alias("distance"), F.round(similarity.levenshtein_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
+
+
+def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5000 most frequent terms of the documents."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    return similarity.vocabulary(similarity.term_counts(docs, "doc_id", "text")).select("term", "df", "tf")
+
+
+def tfidf_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of terms and heaviest weight of each document's vector."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    counts = similarity.term_counts(docs, "doc_id", "text")
+    w = similarity.tfidf(counts, docs.count(), similarity.vocabulary(counts))
+    return w.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("n_terms"), F.round(F.max("weight"), 6).alias("top"))
+
+
+def pair_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosine of originals and variants against all records as corpus."""
+    out = similarity.pair_cosine(_pairs(spark, sf_dir), corpus=_records(spark, sf_dir))
+    return out.select("id", F.round("cosine", 6).alias("cosine"))
+
+
+def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants by the issues that the gate finds (folded texts, no corpus)."""
+    p = _pairs(spark, sf_dir).withColumn("a", _fold("a")).withColumn("b", _fold("b"))
+    gate = similarity.quality_gate(p, similarity.pair_cosine(p))
+    return gate.groupBy(F.array_join("issues", ",").alias("issues"), "is_valid").agg(F.count("*").alias("n"))
+
+
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of equal texts of each document and its number of near-duplicate classes."""
+    out = similarity.near_duplicates(table(spark, sf_dir, "documents"), id_col="doc_id", text_col="text")
+    return out.select(F.col("id").alias("doc_id"), "class_id", "n_links")
+
+
+def review_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to 10,000 uncertain results whose text isn't in review yet."""
+    queued = table(spark, sf_dir, "review_item").select("text").where("text IS NOT NULL").distinct()
+    rows = _results(spark, sf_dir).select("result_id", "text", "conf")
+    return feedback.review_batch(rows, queued, confidence="conf", id_col="result_id", capacity=1_000_000)
+
+
+def reviewed_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest reviewed label of every item."""
+    df = table(spark, sf_dir, "review_item").where("status IN ('approved', 'corrected')")
+    label = validate_domain(F.coalesce("corrected_domain", "predicted_domain"))
+    return df.groupBy("id").agg(F.max_by(label, F.struct("review_timestamp", "review_id")).alias("label"), F.lit(1.0).alias("confidence"))
+
+
+def _opinions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "review_item").where("status IN ('approved', 'corrected')")
+    return df.select("review_id", "text", canonical_domain(F.col("predicted_domain")).alias("predicted"), canonical_domain(F.coalesce("corrected_domain", "predicted_domain")).alias("corrected"), F.col("review_timestamp").alias("at"))
+
+
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feedback.feedback_statistics(_opinions(spark, sf_dir), predicted=F.col("predicted"), corrected=F.col("corrected"), at=F.col("at"), as_of=AS_OF)
+
+
+def feedback_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Opinions by predicted and corrected label."""
+    return _counts(spark, sf_dir)
+
+
+def feedback_retrain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether it is time to train again."""
+    return feedback.should_retrain(_counts(spark, sf_dir))
+
+
+def feedback_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confusions to warn of."""
+    return feedback.prompt_warnings(_counts(spark, sf_dir))
+
+
+def feedback_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest clear examples of each domain."""
+    return feedback.dynamic_examples(_opinions(spark, sf_dir), text=F.col("text"), corrected=F.col("corrected"), at=F.col("at"), as_of=AS_OF)
+
+
+def context_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten latest events of each user."""
+    out = feedback.last_messages(table(spark, sf_dir, "events"), user="user_id", at="ts", id_col="event_id")
+    return out.select("user_id", "turn", "event_id")
+
+
+def context_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decayed preferences of users for kinds of events."""
+    out = feedback.preferences(table(spark, sf_dir, "events"), user="user_id", domain="event_type", at="ts", id_col="event_id")
+    return out.select("user", "domain", F.round("weight", 6).alias("weight"))
+
+
+def context_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users, active users, messages."""
+    return feedback.context_statistics(table(spark, sf_dir, "events"), user=F.col("user_id"), at=F.col("ts"), as_of=datetime.datetime(2024, 1, 30))
+
+
+def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with a fresh answer for their text in the results of the last 90 days."""
+    cache = table(spark, sf_dir, "classification_result").where("text IS NOT NULL").select(cache_key(F.col("text"), F.lit("v1")).alias("key"), F.coalesce("domain_id", F.lit("")).alias("result"), F.col("classified_at").alias("ts"))
+    last = latest_entries(cache, as_of=AS_OF, hours=24 * 90)
+    rows = _records(spark, sf_dir).where("text IS NOT NULL").select("row_id", cache_key(F.col("text"), F.lit("v1")).alias("key"))
+    return rows.join(last, "key").select("row_id", "result")
+
+
+def scan_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of the last week."""
+    return readers.recent(table(spark, sf_dir, "classification_result"), "classified_at", as_of=AS_OF).select("result_id", "domain_id")
+
+
+def scan_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of March 2024 by domain."""
+    part = readers.between(table(spark, sf_dir, "classification_result"), "classified_at", datetime.datetime(2024, 3, 1), datetime.datetime(2024, 4, 1))
+    return part.groupBy(validate_domain(F.col("domain_id")).alias("domain")).agg(F.count("*").alias("n"))
+
+
+def version_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags made of part numbers, read and stepped."""
+    tag = F.concat(F.lit("v"), (F.col("p_partkey") % 7).cast("string"), F.lit("."), F.col("p_size").cast("string"))
+    v = versions.parse_version(F.col("tag"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 11 == 0, "vX").otherwise(tag).alias("tag"))
+    return rows.select("p_partkey", v["major"].alias("major"), v["minor"].alias("minor"), v["patch"].alias("patch"), versions.next_version(F.col("tag"), "patch").alias("next_patch"), versions.next_version(F.col("tag"), "major").alias("next_major"))
+
+
+def metadata_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of metadata that differ between a reviewed item and its record."""
+    a = _records(spark, sf_dir).where("row_id IS NOT NULL").select("row_id", "metadata")
+    b = table(spark, sf_dir, "review_item").where("metadata IS NOT NULL").groupBy("row_id").agg(F.max_by("metadata", "review_id").alias("metadata"))
+    a = a.join(b.select("row_id"), "row_id", "left_semi")
+    out = versions.map_difference(a, b, key="row_id", entries="metadata")
+    return out.select("row_id", "name", F.col("old").alias("old_value"), F.col("new").alias("new_value"))
+
+
+def union_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Originals and variants in one bag, by domain."""
+    df = table(spark, sf_dir, "augmentation_result")
+    originals = df.select(F.col("original_text").alias("text"), "domain", F.lit("original").alias("kind"))
+    made = df.select(F.explode("variants").alias("text"), "domain")
+    return originals.unionByName(made, allowMissingColumns=True).groupBy("domain", F.coalesce("kind", F.lit("variant")).alias("kind")).agg(F.count("*").alias("n"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p2_found": p2_found,
-    "p2_table": p2_table,
-    "p7_found": p7_found,
-}
-SQL: dict[str, str] = {}
+    q.__name__: q
+    for q in (
+        p2_found, p2_table, p7_found, etl_records, etl_statistics, etl_columns, etl_metadata, etl_domain_distribution, labels_normalised, labels_stop_words, labels_soft, labels_rules, labels_override, low_confidence, consensus_labels, ensemble_labels, calibration_table, calibrated, confidence_summary, confusions, quality_filter, balanced_rows, stratified_split, dataset_statistics, dataset_score, source_distribution, output_rows, sharded_rows, levenshtein_pairs, term_statistics, tfidf_norms, pair_cosine, quality_gate, near_duplicates, review_batch, reviewed_export, feedback_statistics, feedback_retrain, feedback_warnings, feedback_examples, context_last, context_preferences, context_statistics, cache_lookup, scan_recent, scan_between, version_tags, metadata_difference, union_all,
+    )
+}
+
