@@ -9,16 +9,12 @@ of a partition, so what the driver sees is one small row for each partition, wha
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from decimal import Decimal
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltwork.session import checkpointed
+from siltwork.operators.ranking import ranked_within
 
 
 def valid_score(score: Column, low: float = 0.0, high: float = 1.0) -> Column:
@@ -26,97 +22,6 @@ def valid_score(score: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.when(~F.isnan(score) & score.between(low, high), score)
 
 
-def _run_starts(keys: pa.Array) -> np.ndarray:
-    """Row numbers at which a sorted key (never null) differs from the row before; 0 first."""
-    if len(keys) == 0:
-        return np.zeros(0, np.int64)
-    change = pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)).to_numpy(zero_copy_only=False)
-    return np.concatenate(([0], np.flatnonzero(change) + 1))
-
-
-def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for a partition: first and last contributor, rows of each at that edge, all rows."""
-    first = last = pid = None
-    n_first = n_last = n = 0
-    for b in batches:
-        keys = b.column(1)
-        if not len(keys):
-            continue
-        pid = b.column(0)[0].as_py()
-        starts = _run_starts(keys)
-        begin, end = keys[0].as_py(), keys[len(keys) - 1].as_py()
-        lead = int(starts[1]) if len(starts) > 1 else len(keys)
-        if first is None:
-            first, n_first = begin, lead
-        elif n_first == n and begin == first:
-            n_first += lead
-        tail = len(keys) - int(starts[-1])
-        n_last = n_last + tail if len(starts) == 1 and end == last else tail
-        last = end
-        n += len(keys)
-    if pid is not None:
-        yield pa.RecordBatch.from_pydict(
-            {"pid": [pid], "first": [first], "n_first": [n_first], "last": [last], "n_last": [n_last], "n": [n]},
-            schema=pa.schema([("pid", pa.int32()), ("first", pa.string()), ("n_first", pa.int64()),
-                              ("last", pa.string()), ("n_last", pa.int64()), ("n", pa.int64())]),
-        )
-
-
-def carried(edges: list[tuple]) -> dict[int, int]:
-    """For each partition: rows that its first contributor has in the partitions before it."""
-    out, open_key, open_rows = {}, None, 0
-    for pid, first, _, last, n_last, n in sorted(edges):
-        out[pid] = open_rows if first == open_key else 0
-        whole = first == last and n_last == n
-        open_rows = n_last + (out[pid] if whole else 0)
-        open_key = last
-    return out
-
-
-def ranked_within(df: DataFrame, contributor: Column, score: Column, tie: str, rank_col: str = "rank") -> DataFrame:
-    """``df`` with the position (from 1) of each row within its contributor.
-
-    Best score first, a null score last, equal ones by ``tie`` (null last). Null contributors
-    form one contributor. A column already called ``rank_col`` is replaced.
-    """
-    keep = [F.col(f"`{c}`") for c in df.columns if c != rank_col]
-    keyed = df.select(
-        F.concat(F.when(contributor.isNull(), F.lit("0")).otherwise("1"), F.coalesce(contributor.cast("string"), F.lit(""))).alias("__sw_key"),
-        score.cast("double").alias("__sw_score"),
-        *keep,
-    )
-    order = [F.col("__sw_key"), F.col("__sw_score").desc_nulls_last(), F.col(f"`{tie}`").asc_nulls_last()]
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    # Both passes below must see the same partitions in the same order, also after the loss of
-    # an executor; range bounds are sampled anew on each run, so the order is written down.
-    ordered = checkpointed(ordered.withColumn("__sw_pid", F.spark_partition_id()))
-    edges = ordered.select("__sw_pid", "__sw_key").mapInArrow(
-        _edges, "pid int, first string, n_first long, last string, n_last long, n long"
-    )
-    carry = carried([tuple(r) for r in edges.collect()])  # one row for each partition
-    schema = ordered.drop("__sw_key", "__sw_score", "__sw_pid").schema.add(rank_col, "long", False)
-
-    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, seen = None, 0
-        for b in batches:
-            keys = b.column("__sw_key")
-            if not len(keys):
-                continue
-            starts = _run_starts(keys)
-            lengths = np.diff(np.append(starts, len(keys)))
-            within = np.arange(len(keys)) - np.repeat(starts, lengths) + 1
-            begin = keys[0].as_py()
-            before = seen if begin == key else carry[b.column("__sw_pid")[0].as_py()] if key is None else 0
-            within[: lengths[0]] += before
-            key = keys[len(keys) - 1].as_py()
-            seen = int(within[-1])
-            names = [n for n in b.schema.names if n not in ("__sw_key", "__sw_score", "__sw_pid")]
-            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(within)], names=[*names, rank_col])
-
-    return ordered.mapInArrow(rank, schema)
-
-
 def cap_contributors(
     df: DataFrame,
     *,
@@ -141,5 +46,6 @@ def cap_contributors(
     caps = [] if max_rows is None else [int(max_rows)]
     if max_share is not None:
         caps.append(int(Decimal(max_share) * df.count()))
-    ranked = ranked_within(df, contributor, score, tie, "__sw_rank")
+    order = [score.desc_nulls_last(), F.col(f"`{tie}`").asc_nulls_last()]
+    ranked = ranked_within(df, contributor, order, "__sw_rank")
     return ranked.where(F.col("__sw_rank") <= min(caps)).drop("__sw_rank")

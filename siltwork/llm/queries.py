@@ -120,8 +120,8 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leaks with up to three edits in a passage: run of identical words and least distance."""
-    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"), max_edits=3)
+    """Leaks with up to one edit in a passage: run of identical words and least distance."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"), max_edits=1)
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
