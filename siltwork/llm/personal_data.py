@@ -129,7 +129,7 @@ _ID_CUE = re.compile(r"(?i)снилс|инн|полис|омс|паспорт|ss
 
 _BEFORE, _AFTER = r"(?<![\w+])(?<!\d[-./:,])(?<![A-Za-zА-Яа-яЁё][-/:])", r"(?!\w)(?![-.:,/]\d)"
 _PHONES = [
-    re.compile(rf"{_BEFORE}\+?\s?[78][ \xa0.\-]?\(?\d{{3}}\)?[ \xa0.\-]?\d{{3}}[ \xa0.\-]?\d{{2}}[ \xa0.\-]?\d{{2}}{_AFTER}"),
+    re.compile(rf"{_BEFORE}(?:\+\s?)?[78][ \xa0.\-]?\(?\d{{3}}\)?[ \xa0.\-]?\d{{3}}[ \xa0.\-]?\d{{2}}[ \xa0.\-]?\d{{2}}{_AFTER}"),
     re.compile(rf"{_BEFORE}\+\s?[1-9]\d{{0,2}}[ \xa0.\-]?\(?\d{{1,4}}\)?(?:[ \xa0.\-]?\d{{2,6}}){{1,4}}{_AFTER}"),
     re.compile(rf"{_BEFORE}(?:\([2-9]\d{{2}}\)[ \xa0]?|[2-9]\d{{2}}[ \xa0.\-]?)[2-9]\d{{2}}[ \xa0.\-]?\d{{4}}{_AFTER}"),
 ]
@@ -139,21 +139,22 @@ _NOT_PHONE = re.compile(
     r"\W*(?:№|no\.?|number|номер)?\W*$"
 )
 
+_H = r"[^\S\n\r]"  # white space within a line
 _TYPE = (
     r"(?:ул(?:иц[аеыу]|ицей)?|наб(?:ережн(?:ая|ой|ую))?|алле[яеию]|пр-д|проезд[ае]?|пер(?:еул(?:ок|ке|ка))?|пр-т|просп(?:ект[ае]?)?"
     r"|пл(?:ощад[ьи])?|б-р|бульвар[ае]?|ш(?:оссе)?|тупик[ае]?)(?![а-яё])\.?"
 )
-_HOUSE = r"(?:д(?:ом)?(?![а-яё])\.?\s?)?(?:№\s?)?\d{1,3}(?!\d)(?:\s?[а-я](?![а-яё.]))?(?:/\d{1,3}[а-я]?(?!\w))?"
+_HOUSE = rf"(?:д(?:ом)?(?![а-яё])\.?{_H}?)?(?:№{_H}?)?\d{{1,3}}(?![\d]|[.,:]\d)(?:{_H}?[а-я](?![а-яё.]))?(?:/\d{{1,3}}[а-я]?(?!\w))?"
 _MORE = (
-    r"(?:,?\s?(?:корп(?:ус)?|к|стр(?:оение)?|лит(?:ера)?)(?![а-яё])\.?\s?\d{1,3}[а-я]?(?!\w))?"
-    r"(?:\s?-\s?\d{1,4}(?!\w))?(?:,?\s?(?:кв(?:артира)?|подъезд|под|эт(?:аж)?|оф(?:ис)?|помещ\w*)(?![а-яё])\.?\s?\d{1,4}(?!\w))*"
+    rf"(?:,?{_H}?(?:корп(?:ус)?|к|стр(?:оение)?|лит(?:ера)?)(?![а-яё])\.?{_H}?\d{{1,3}}[а-я]?(?!\w))?"
+    rf"(?:{_H}?-{_H}?\d{{1,4}}(?!\w))?(?:,?{_H}?(?:кв(?:артира)?|подъезд|под|эт(?:аж)?|оф(?:ис)?|помещ\w*)(?![а-яё])\.?{_H}?\d{{1,4}}(?!\w))*"
 )
-_TOWN = r"(?:(?:г(?:ород)?\.?\s?)?[а-яё-]{3,},?\s)?"
+_TOWN = rf"(?:г(?:ород)?\.?{_H}?[а-яё-]{{3,}},?{_H})?"
 _ADJ = r"[а-яё]{2,}(?:-[а-яё]+)?(?:ая|яя|ой|ей|ую|юю)"
 _ADDRESSES = [
-    re.compile(rf"(?i)(?<![а-яё-])(?:г(?:ород)?\.?\s?[а-яё-]{{3,}},?\s)?{_TYPE}\s?(?:[а-яё-]{{2,}}\s){{0,2}}?[а-яё-]{{2,}}\s?,?\s{{0,2}}{_HOUSE}{_MORE}"),
-    re.compile(rf"(?i)(?<![а-яё-])(?:г(?:ород)?\.?\s?[а-яё-]{{3,}},?\s)?(?:[а-яё-]{{2,}}\s)?{_ADJ}\s{_TYPE}\s?,?\s?{_HOUSE}{_MORE}"),
-    re.compile(rf"(?i)(?<![а-яё-])({_ADJ}),?[ \xa0]{_HOUSE}{_MORE}"),
+    re.compile(rf"(?i)(?<![а-яё-]){_TOWN}{_TYPE}{_H}?(?:[а-яё-]{{2,}}{_H}?,?|(?:[а-яё-]{{2,}}{_H}){{1,2}}[а-яё-]{{2,}}{_H}?,){_H}{{0,2}}{_HOUSE}{_MORE}"),
+    re.compile(rf"(?i)(?<![а-яё-]){_TOWN}{_ADJ}{_H}{_TYPE}{_H}?,?{_H}?{_HOUSE}{_MORE}"),
+    re.compile(rf"(?i)(?<![а-яё-])({_ADJ}),?{_H}{{1,2}}{_HOUSE}{_MORE}"),
 ]
 # Words with the ending of a street's name that are none.
 _NO_STREET = {

@@ -167,10 +167,18 @@ def features(c: Candidate, cased: bool) -> list[int]:
     return [zlib.crc32(x.encode()) & ((1 << _BITS) - 1) for x in names]
 
 
+_START = re.compile(r"(?:^\s*(?:\(?\d{1,3}[.)]\s*)?(?:[^\W\d_][\w-]{1,20}:\s+)?|[!?]\s+)[«“„¿¡(\"]*([^\W\d_])")
+
+
 def is_lower(text: str) -> bool:
-    """Whether a text with cased letters has (next to) no capital at the start of a word."""
-    letters = sum(map(str.islower, text))
-    return letters > 20 and sum(map(str.isupper, text)) < 0.004 * letters
+    """Whether sentences begin with small letters here: most first letters of lines (after list
+    number and speaker) and after exclamation and question marks are small."""
+    small = large = 0
+    for line in _LINES.split(text):
+        for c in _START.findall(line):
+            small += c.islower()
+            large += c.isupper()
+    return small > large
 
 
 def line_statistics(text: str) -> Counter:
@@ -229,10 +237,11 @@ def certain(c: Candidate, lower: bool, stats: Statistics) -> int | None:
         if c.closer and c.closer not in _BRACKETS and first in "xlp":
             return 0
         return 1 if first in "Ux" and not lower else None
+    starts = first == "x" or (first == "U" and not lower)  # a capital, or a script without capitals
     if c.mark != ".":
-        return 1 if first == "U" and not lower and (begins or 0) > 0.02 else None
+        return 1 if starts and (begins or 0) > 0.02 else None
     if c.closer in _BRACKETS:
-        return 1 if first == "U" else None
+        return 1 if starts else None
     before, earlier = _plain(c.before), _plain(c.earlier)
     if first in "9" and len(before) <= 5 and (stats.ends(before) or 0) < 0.01:
         return 0
@@ -246,10 +255,10 @@ def certain(c: Candidate, lower: bool, stats: Statistics) -> int | None:
         return 0
     ends = stats.ends(before)
     if ends is None:
-        return 1 if first == "U" and not lower and len(before) > 5 and (begins or 0) > 0.05 else None
+        return 1 if starts and len(before) > 5 and (begins or 0) > 0.05 else None
     if ends < 0.004:
         return 0
-    return 1 if ends > 0.03 and first == "U" and not lower and (begins is None or begins > 0.02) else None
+    return 1 if ends > 0.03 and starts and (begins is None or begins > 0.02) else None
 
 
 class Model:
@@ -305,7 +314,7 @@ def split_sentences(text: str | None, model: Model) -> list[tuple[int, int]]:
     lower = is_lower(text)
 
     def add(a: int, b: int) -> None:
-        while a < b and (text[a].isspace() or text[a] == "﻿"):
+        while a < b and text[a].isspace():
             a += 1
         while b > a and text[b - 1].isspace():
             b -= 1
