@@ -78,3 +78,25 @@ def context_statistics(df: DataFrame, *, user: Column, at: Column, as_of: dateti
     """One row: users, users active in the last hours, messages."""
     per = df.select(user.alias("u"), at.alias("at")).where("u IS NOT NULL").groupBy("u").agg(F.count("*").alias("n"), F.max("at").alias("last"))
     return per.agg(F.count("*").alias("users"), F.count_if(F.col("last") > F.lit(as_of - datetime.timedelta(hours=hours))).alias("active"), F.coalesce(F.sum("n"), F.lit(0)).alias("messages"))
+
+
+def example_texts(examples: DataFrame) -> DataFrame:
+    """``domain``, ``prompt``: the examples of each domain (at most a few) as numbered lines."""
+    line = F.concat(F.lit("Example "), F.col("turn").cast("string"), F.lit(": "), F.col("text"), F.lit(" -> "), F.col("domain"))
+    lines = examples.groupBy("domain").agg(F.sort_array(F.collect_list(F.struct("turn", line.alias("line")))).alias("l"))
+    return lines.select("domain", F.array_join(F.col("l.line"), "\n").alias("prompt"))
+
+
+def preferred_domains(weights: DataFrame, k: int = 3) -> DataFrame:
+    """``user``, ``turn``, ``domain``: the ``k`` domains of most weight of each user."""
+    turn = F.row_number().over(W.partitionBy("user").orderBy(F.desc(F.round("weight", 9)), "domain"))
+    return weights.withColumn("turn", turn).where(F.col("turn") <= k).select("user", "turn", "domain")
+
+
+def context_prompts(messages: DataFrame, weights: DataFrame, *, user: str, text: str, at: str, id_col: str) -> DataFrame:
+    """``user``, ``recent`` (the two messages before the latest, oldest first, cut to 100
+    characters), ``domains`` (up to three preferred ones)."""
+    last = last_messages(messages, user=user, at=at, id_col=id_col, n=3).where("turn > 1")
+    recent = last.groupBy(F.col(user).alias("user")).agg(F.sort_array(F.collect_list(F.struct((-F.col("turn")).alias("o"), F.left(F.col(text), F.lit(100)).alias("t")))).alias("m"))
+    top = preferred_domains(weights).groupBy("user").agg(F.sort_array(F.collect_list(F.struct("turn", "domain"))).alias("d"))
+    return top.join(recent, "user", "left").select("user", F.coalesce(F.array_join(F.col("m.t"), " | "), F.lit("")).alias("recent"), F.array_join(F.col("d.domain"), ",").alias("domains"))

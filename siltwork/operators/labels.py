@@ -103,3 +103,21 @@ def override_by_candidate(domain: Column, confidence: Column, candidates: Column
     best = best_candidate(candidates)
     take = (best["score"] >= threshold) & (best["label"] != "oos")
     return F.struct(F.when(take, best["label"]).otherwise(validate_domain(domain)).alias("domain"), F.when(take, best["score"]).otherwise(confidence).alias("confidence"))
+
+
+def label_accuracy(df: DataFrame, *, given: Column, found: Column) -> DataFrame:
+    """One row: ``n``, ``n_correct``, ``n_relabelled``, ``accuracy`` of given labels against found ones."""
+    rows = df.select((given == found).alias("ok"))
+    out = rows.agg(F.count("ok").alias("n"), F.count_if("ok").alias("n_correct"), F.count_if(~F.col("ok")).alias("n_relabelled"))
+    return out.withColumn("accuracy", F.try_divide("n_correct", "n"))
+
+
+def validation_rates(df: DataFrame) -> DataFrame:
+    """One row: items and shares with a consensus, a matching rule, and found valid."""
+    share = lambda c: F.try_divide(F.count_if(F.coalesce(F.col(c), F.lit(False))), F.count("*"))
+    return df.agg(F.count("*").alias("n"), share("consensus_achieved").alias("consensus_rate"), share("rule_match").alias("rule_rate"), share("is_valid").alias("valid_rate"))
+
+
+def problem_items(df: DataFrame, *, id_col: str, confidence: str, ratio: str, top: int = 20) -> DataFrame:
+    """The ``top`` invalid items of least agreement and confidence (a report)."""
+    return df.where("NOT is_valid").orderBy(F.asc_nulls_first(ratio), F.asc_nulls_first(confidence), id_col).limit(top).select(id_col, ratio, confidence)

@@ -28,6 +28,12 @@ def latest_entries(cache: DataFrame, *, as_of: datetime.datetime, hours: int = 2
     return fresh.groupBy("key").agg(F.max_by("result", F.struct("ts", "result")).alias("result"))
 
 
+def cache_statistics(cache: DataFrame, *, as_of: datetime.datetime, hours: int = 24) -> DataFrame:
+    """One row: ``entries``, distinct ``keys``, ``fresh`` entries and ``expired`` ones (no time: expired)."""
+    fresh = F.col("ts") >= F.lit(as_of - datetime.timedelta(hours=hours))
+    return cache.agg(F.count("*").alias("entries"), F.countDistinct("key").alias("keys"), F.count_if(fresh).alias("fresh"), F.count_if(~F.coalesce(fresh, F.lit(False))).alias("expired"))
+
+
 def rule_classification(text: Column) -> Column:
     """(label, confidence) without any model: stop words, rules, best hint, else oos."""
 

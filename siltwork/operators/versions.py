@@ -86,3 +86,14 @@ class VersionStore:
         """Differences of the metadata of two versions."""
         pick = lambda t: self.versions().where(F.col("tag") == t).select(F.lit("m").alias("k"), "metadata")
         return map_difference(pick(a), pick(b), key="k", entries="metadata").drop("k")
+
+    def archived(self, keep: int = 100) -> DataFrame:
+        """Versions beyond the ``keep`` newest by time of commit."""
+        newest = self.versions().orderBy(F.desc("created_at"), F.desc("tag")).limit(keep)
+        return self.versions().join(newest.select("tag"), "tag", "left_anti")
+
+    def statistics(self) -> DataFrame:
+        """One row: ``n_versions``, ``n_rows`` and the ``latest`` tag."""
+        return self.versions().agg(
+            F.count("*").alias("n_versions"), F.coalesce(F.sum("rows"), F.lit(0)).alias("n_rows"), F.max_by("tag", parse_version(F.col("tag"))).alias("latest")
+        )

@@ -13,6 +13,7 @@ from siltwork.functions.taxonomy import is_stop_word, normalise_label, rule_labe
 from siltwork.functions.text import canonical_domain
 from siltwork.operators import dataset, etl, feedback, labels, similarity, versions
 from siltwork.operators.model_calls import cache_key, latest_entries, rule_classification
+from siltwork.operators.model_calls import cache_statistics as model_cache_statistics
 from siltwork.operators.schema_drift import schema_changes, unified_records
 from siltwork.operators.timestamps import normalise_timestamps
 from siltwork.plans.sql import SQL  # noqa: F401 - part of the interface
@@ -361,10 +362,52 @@ def union_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return originals.unionByName(made, allowMissingColumns=True).groupBy("domain", F.coalesce("kind", F.lit("variant")).alias("kind")).agg(F.count("*").alias("n"))
 
 
+def label_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """True labels against those of the keyword rules, where these decide."""
+    rows = _results(spark, sf_dir).where("text IS NOT NULL")
+    return labels.label_accuracy(rows, given=validate_domain(F.col("domain_true")), found=rule_label(F.col("text")))
+
+
+def validation_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of validated items with consensus, rule match and validity."""
+    return labels.validation_rates(table(spark, sf_dir, "validation_result"))
+
+
+def problem_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 most doubtful items."""
+    one = table(spark, sf_dir, "validation_result").groupBy("id").agg(F.min("consensus_ratio").alias("ratio"), F.min("final_confidence").alias("confidence"), F.bool_and(F.coalesce("is_valid", F.lit(False))).alias("is_valid"))
+    return labels.problem_items(one, id_col="id", confidence="confidence", ratio="ratio")
+
+
+def cache_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers by age."""
+    cache = table(spark, sf_dir, "classification_result").select(cache_key(F.col("text")).alias("key"), F.col("classified_at").alias("ts"))
+    return model_cache_statistics(cache, as_of=AS_OF, hours=24 * 90)
+
+
+def feedback_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Examples as text for a prompt."""
+    return feedback.example_texts(feedback_examples(spark, sf_dir))
+
+
+def _preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feedback.preferences(table(spark, sf_dir, "events"), user="user_id", domain="event_type", at="ts", id_col="event_id")
+
+
+def context_preferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three preferred kinds of events of each user."""
+    return feedback.preferred_domains(_preferences(spark, sf_dir))
+
+
+def context_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a prompt would say about each user."""
+    return feedback.context_prompts(table(spark, sf_dir, "events"), _preferences(spark, sf_dir), user="user_id", text="event_type", at="ts", id_col="event_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
     for q in (
-        p2_found, p2_table, p7_found, etl_records, etl_statistics, etl_columns, etl_metadata, etl_domain_distribution, labels_normalised, labels_stop_words, labels_soft, labels_rules, labels_override, low_confidence, consensus_labels, ensemble_labels, calibration_table, calibrated, confidence_summary, confusions, quality_filter, balanced_rows, stratified_split, dataset_statistics, dataset_score, source_distribution, output_rows, sharded_rows, levenshtein_pairs, term_statistics, tfidf_norms, pair_cosine, quality_gate, near_duplicates, review_batch, reviewed_export, feedback_statistics, feedback_retrain, feedback_warnings, feedback_examples, context_last, context_preferences, context_statistics, cache_lookup, scan_recent, scan_between, version_tags, metadata_difference, union_all,
+        p2_found, p2_table, p7_found, etl_records, etl_statistics, etl_columns, etl_metadata, etl_domain_distribution, labels_normalised, labels_stop_words, labels_soft, labels_rules, labels_override, low_confidence, consensus_labels, ensemble_labels, calibration_table, calibrated, confidence_summary, confusions, quality_filter, balanced_rows, stratified_split, dataset_statistics, dataset_score, source_distribution, output_rows, sharded_rows, levenshtein_pairs, term_statistics, tfidf_norms, pair_cosine, quality_gate, near_duplicates, review_batch, reviewed_export, feedback_statistics, feedback_retrain, feedback_warnings, feedback_examples, context_last, context_preferences, context_statistics, cache_lookup, scan_recent, scan_between, version_tags, metadata_difference, union_all, label_accuracy, validation_rates, problem_items, cache_statistics, feedback_prompts, context_preferred, context_prompts,
     )
 }
 

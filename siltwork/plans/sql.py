@@ -209,4 +209,24 @@ SQL: dict[str, str] = {
         FROM a FULL JOIN b ON a.row_id = b.row_id AND a.name = b.name WHERE a.v IS DISTINCT FROM b.v""",
     "union_all": """SELECT domain, kind, count(*) AS n FROM (SELECT domain, 'original' AS kind FROM augmentation_result
         UNION ALL SELECT domain, 'variant' FROM (SELECT domain, unnest(variants) AS v FROM augmentation_result)) GROUP BY 1, 2""",
+    "label_accuracy": f"""WITH h AS (SELECT {_domain('domain_true')} AS t, {_hits('text')} FROM classification_result WHERE text IS NOT NULL),
+        x AS (SELECT t, {_ranked()} AS r FROM h), y AS (SELECT t = {_RULE} AS ok FROM x)
+        SELECT count(ok) AS n, count(*) FILTER (ok) AS n_correct, count(*) FILTER (NOT ok) AS n_relabelled, count(*) FILTER (ok) / count(ok) AS accuracy FROM y""",
+    "validation_rates": """SELECT count(*) AS n, count(*) FILTER (consensus_achieved) / count(*) AS consensus_rate, count(*) FILTER (rule_match) / count(*) AS rule_rate,
+        count(*) FILTER (is_valid) / count(*) AS valid_rate FROM validation_result""",
+    "problem_items": """SELECT id, min(consensus_ratio) AS ratio, min(final_confidence) AS confidence FROM validation_result GROUP BY id
+        HAVING NOT bool_and(coalesce(is_valid, false)) ORDER BY 2 NULLS FIRST, 3 NULLS FIRST, 1 LIMIT 20""",
+    "cache_statistics": """SELECT count(*) AS entries, count(DISTINCT coalesce(text, '')) AS keys,
+        count(*) FILTER (classified_at >= TIMESTAMP '2024-12-31' - INTERVAL 2160 HOUR) AS fresh,
+        count(*) FILTER (NOT coalesce(classified_at >= TIMESTAMP '2024-12-31' - INTERVAL 2160 HOUR, false)) AS expired FROM classification_result""",
+    "feedback_prompts": "WITH e AS ({}) SELECT domain, string_agg('Example ' || turn || ': ' || text || ' -> ' || domain, chr(10) ORDER BY turn) AS prompt FROM e GROUP BY domain",
+    "context_preferred": "WITH p AS ({}) SELECT \"user\", row_number() OVER (PARTITION BY \"user\" ORDER BY weight DESC, domain)::INT AS turn, domain FROM p QUALIFY turn <= 3",
+    "context_prompts": """WITH p AS ({}), t AS (SELECT "user", domain, row_number() OVER (PARTITION BY "user" ORDER BY weight DESC, domain) AS k FROM p QUALIFY k <= 3),
+        d AS (SELECT "user", string_agg(domain, ',' ORDER BY k) AS domains FROM t GROUP BY 1),
+        m AS (SELECT user_id AS "user", left(event_type, 100) AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events QUALIFY k IN (2, 3)),
+        r AS (SELECT "user", string_agg(x, ' | ' ORDER BY k DESC) AS recent FROM m GROUP BY 1)
+        SELECT d."user", coalesce(recent, '') AS recent, domains FROM d LEFT JOIN r USING ("user")""",
 }
+SQL["feedback_prompts"] = SQL["feedback_prompts"].format(SQL["feedback_examples"])
+for _name in ("context_preferred", "context_prompts"):
+    SQL[_name] = SQL[_name].format(SQL["context_preferences"].replace(", 6) AS weight", ", 9) AS weight"))

@@ -146,6 +146,8 @@ def test_versions(spark, tmp_path):
     assert versions.content_hash(df) == versions.content_hash(df.orderBy(F.desc("id")).repartition(3)) != versions.content_hash(df.limit(1))
     with pytest.raises(ValueError):
         store.commit(df, tag="v1.0.0", as_of=now)
+    assert [r["tag"] for r in store.archived(keep=1).collect()] == ["v1.0.0"]
+    assert tuple(store.statistics().first()) == (2, 3, "v1.1.0")
 
 
 def test_feedback_and_context(spark):
