@@ -142,7 +142,8 @@ def load_vocabulary(path: str) -> tuple[list[int], dict[tuple[int, int], tuple[i
     return [vocab[c] for c in byte_alphabet()], merges
 
 
-_encoders: dict[int, Encoder] = {}
+#: The encoder of the vocabulary last used by this Python worker.
+_encoders: dict[str, Encoder] = {}
 
 
 def encode_corpus(
@@ -158,16 +159,15 @@ def encode_corpus(
     """
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(load_vocabulary(vocabulary))
-    key = id(shared)
     keep = [c for c in (keep_cols if keep_cols is not None else df.columns) if c not in (out_col, *([text_col] if keep_cols is None else []))]
     source = df.select(F.col(f"`{text_col}`").alias("__sw_text"), *[F.col(f"`{c}`") for c in keep])
     schema = T.StructType([*source.schema.fields[1:], T.StructField(out_col, T.ArrayType(T.IntegerType(), False), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.get(key)
+        encoder = _encoders.get(vocabulary)
         if encoder is None:
             _encoders.clear()
-            encoder = _encoders[key] = Encoder(*shared.value)
+            encoder = _encoders[vocabulary] = Encoder(*shared.value)
         for b in batches:
             # Long texts: a batch is cut so that its ids stay far below the limits of Arrow.
             for at in range(0, b.num_rows, 500):
