@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltwork.functions.text import strip_ws
-from siltwork.session import bounded_broadcast
+from siltwork.session import checkpointed, materialised
 
 _SEPARATORS = r"[;|\r\n\x{2028}\x{2029}\x0b\x0c\x85]+"
 _FIELD = r"(?s)^[^:：]*[\p{L}\p{N}][^:：]*[:：].*$"
@@ -88,36 +88,36 @@ def digest(c: Column) -> Column:
     return F.unhex(F.md5(c))
 
 
-def structural_groups(df: DataFrame, *, id_col: str, text_col: str, json_depth: int = 3) -> DataFrame:
-    """One row for each record that is a case: ``id``, the root ``digest`` and ``canon``.
+def _wordings(df: DataFrame, id_col: str, text_col: str, json_depth: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (``id``, ``wd``, ``words``), their distinct wordings, and the field lists among these.
 
-    A field list whose plain wording also occurs as plain text, or in another field list, falls
-    into one group with it: the least field digest of the wording stands for all.
+    Texts are parsed once, into a table in the checkpoint folder. Grouping by digest and words
+    confirms equality in full and is combined before the shuffle, so a group with a third of all
+    rows is no burden. Wordings of field lists, few against all, then meet by their fields.
     """
     base = with_structure(df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t")), "t", json_depth)
-    base = base.where(F.col("__sw_words") != "").select("id", F.col("__sw_words").alias("words"), F.col("__sw_fields").alias("fields"))
-    # Wordings that some field list has: they may also occur as plain text, in the same order.
-    lists = (
-        base.where(F.col("fields").isNotNull())
-        .groupBy(digest(F.col("words")).alias("wd"))
-        .agg(F.min("fields").alias("as_fields"))
+    words = F.col("__sw_words")
+    base = materialised(base.where(words != "").select("id", digest(words).alias("wd"), words.alias("words"), F.col("__sw_fields").alias("fields")))
+    wordings = base.groupBy("wd", "words").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.min("fields").alias("fields"))
+    lists = wordings.where("fields IS NOT NULL").groupBy(digest(F.col("fields")).alias("fd"), "fields").agg(
+        F.min("first_id").alias("first_id"), F.sum("copies").alias("copies")
     )
-    joined = base.withColumn("wd", digest(F.col("words"))).join(bounded_broadcast(lists), "wd", "left")
-    canon = F.coalesce(F.col("as_fields"), F.col("fields"), F.col("words"))
-    return joined.select("id", canon.alias("canon")).withColumn("digest", digest(F.col("canon")))
+    return base.select("id", "wd", "words"), wordings, lists
 
 
 def collapse_duplicates(df: DataFrame, *, id_col: str, text_col: str, json_depth: int = 3) -> DataFrame:
     """``first_id``, ``copies``: one row for each group of records with the same text.
 
+    A field list and a plain text with the same wording are the same; of several readings of one
+    wording as fields the least stands for all.
+
     Cases: null texts and texts without letter or digit are no case and have no row; a null id
     is counted but never first unless all ids of the group are null; an empty table gives an
     empty table; other columns don't matter.
     """
-    groups = structural_groups(df, id_col=id_col, text_col=text_col, json_depth=json_depth)
-    # Grouping by digest and canonical structure confirms equality in full; the counting is
-    # combined before the shuffle, so a group with a third of all rows is no burden.
-    return groups.groupBy("digest", "canon").agg(F.min("id").alias("first_id"), F.count("*").alias("copies")).drop("digest", "canon")
+    _, wordings, lists = _wordings(df, id_col, text_col, json_depth)
+    plain = wordings.where("fields IS NULL").select("first_id", "copies")
+    return plain.unionByName(lists.select("first_id", "copies"))
 
 
 def duplicate_members(df: DataFrame, *, id_col: str, text_col: str, json_depth: int = 3, heavy_share: int = 1000) -> DataFrame:
@@ -127,11 +127,17 @@ def duplicate_members(df: DataFrame, *, id_col: str, text_col: str, json_depth:
     number and are joined by broadcast; all others by a shuffle on the digest. The cases are
     those of ``collapse_duplicates``.
     """
-    rows = structural_groups(df, id_col=id_col, text_col=text_col, json_depth=json_depth)
-    groups = rows.groupBy("digest", "canon").agg(F.min("id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1")
+    rows, wordings, lists = _wordings(df, id_col, text_col, json_depth)
+    plain = wordings.where("fields IS NULL AND copies > 1").select("wd", "words", "first_id", "copies")
+    root = lists.where("copies > 1").select("fd", F.col("fields").alias("f"), F.col("first_id").alias("root"), F.col("copies").alias("all"))
+    listed = wordings.where("fields IS NOT NULL").join(root, (digest(F.col("fields")) == F.col("fd")) & (F.col("fields") == F.col("f")))
+    groups = checkpointed(plain.unionByName(listed.select("wd", "words", F.col("root").alias("first_id"), F.col("copies"))))
     limit = max(1, df.count() // heavy_share)
-    g = groups.select(F.col("digest").alias("gd"), F.col("canon").alias("gc"), "first_id", "copies")
-    same = (F.col("digest") == F.col("gd")) & (F.col("canon") == F.col("gc")) & (F.col("id") != F.col("first_id"))
-    heavy = rows.join(F.broadcast(g.where(F.col("copies") > limit)), same).select("first_id", "id")
+    g = groups.select(F.col("wd").alias("gd"), F.col("words").alias("gw"), "first_id", "copies")
+    # The digest finds the group, the words confirm it.
+    same = (F.col("wd") == F.col("gd")) & (F.col("words") == F.col("gw")) & (F.col("id") != F.col("first_id"))
+    heavy = g.where(F.col("copies") > limit)
     light = rows.join(g.where(F.col("copies") <= limit), same).select("first_id", "id")
-    return heavy.unionByName(light)
+    if heavy.isEmpty():
+        return light
+    return light.unionByName(rows.join(F.broadcast(heavy), same).select("first_id", "id"))
