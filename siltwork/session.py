@@ -28,9 +28,19 @@ def local_session(cpus: int = 8, partitions: int = 8, memory: str = "8g") -> Spa
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    expose_package(spark)
     return spark
 
 
+def expose_package(spark: SparkSession) -> None:
+    """Let Python workers import this package also where the driver found it by its own path."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([root, *known])
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder in ``spark.checkpoint.dir``; only where unset (tests), a local one."""
     sc = spark.sparkContext
@@ -60,7 +70,7 @@ def materialised(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     return spark.read.schema(df.schema).parquet(path)
 
 
