@@ -95,7 +95,8 @@ def relations(
     ).where("t IS NOT NULL")
     texts = rows.select("aug", text_key(F.col("t")).alias("key")).distinct()
     borne = records.select(text_key(F.col(f"`{text_col}`")).alias("key"), user_key(F.col(f"`{user_col}`")).alias("user")).where("key IS NOT NULL")
-    borne = checkpointed(borne.distinct().join(bounded_broadcast(texts.select("key").distinct()), "key", "left_semi"))
+    # Most records bear no augmented text: they leave before anything is shuffled, if the texts are few.
+    borne = checkpointed(borne.join(bounded_broadcast(checkpointed(texts.select("key").distinct())), "key", "left_semi").distinct())
     texts = texts.join(borne.select("key").distinct(), "key", "left_semi")
     home = checkpointed(texts.groupBy("key").agg(F.min("aug").alias("home")))
     group = lambda c: F.concat(F.lit("g"), F.col(c))
