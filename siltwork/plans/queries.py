@@ -259,7 +259,7 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def review_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to 10,000 uncertain results whose text isn't in review yet."""
+    """Uncertain results whose text isn't in review yet (the queue has room for all)."""
     queued = table(spark, sf_dir, "review_item").select("text").where("text IS NOT NULL").distinct()
     rows = _results(spark, sf_dir).select("result_id", "text", "conf")
     return feedback.review_batch(rows, queued, confidence="conf", id_col="result_id", capacity=1_000_000)

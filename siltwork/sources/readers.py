@@ -65,15 +65,18 @@ def _head(spark: SparkSession, path: str) -> bytes:
         stream.close()
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with header; separator and encoding are found out from its head."""
+def read_csv(spark: SparkSession, path: str, *, multi_line: bool = False) -> DataFrame:
+    """CSV with header; separator and encoding are found out from its head.
+
+    Line breaks within quotes need ``multi_line``, and then a file can't be split among tasks.
+    """
     head = _head(spark, path)
     encoding = detect_encoding(head)
     if encoding == "windows-1251":
         # Spark reads charsets beyond its short list only under this setting.
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     text = head.decode({"windows-1251": "cp1251", "iso-8859-1": "latin-1"}.get(encoding, "utf-8-sig"), errors="ignore")
-    return spark.read.csv(path, sep=detect_separator(text), encoding=encoding, header=True, quote='"', escape='"', multiLine=encoding == "utf-8")
+    return spark.read.csv(path, sep=detect_separator(text), encoding=encoding, header=True, quote='"', escape='"', multiLine=multi_line)
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
