@@ -88,8 +88,9 @@ def digest(c: Column) -> Column:
     return F.unhex(F.md5(c))
 
 
-def _wordings(df: DataFrame, id_col: str, text_col: str, json_depth: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (``id``, ``wd``, ``words``), their distinct wordings, and the field lists among these.
+def _wordings(df: DataFrame, id_col: str, text_col: str, json_depth: int, single: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (``id``, ``wd``, ``words``), their distinct wordings (if not ``single``, only repeated
+    ones and field lists), and the field lists among these.
 
     Texts are parsed once, into a table in the checkpoint folder. Grouping by digest and words
     confirms equality in full and is combined before the shuffle, so a group with a third of all
@@ -97,8 +98,10 @@ def _wordings(df: DataFrame, id_col: str, text_col: str, json_depth: int) -> tup
     """
     base = with_structure(df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t")), "t", json_depth)
     words = F.col("__sw_words")
-    base = materialised(base.where(words != "").select("id", digest(words).alias("wd"), words.alias("words"), F.col("__sw_fields").alias("fields")))
+    base = materialised(base.where(words != "").select("id", words.alias("words"), F.col("__sw_fields").alias("fields")))
+    base = base.withColumn("wd", digest(F.col("words")))
     wordings = base.groupBy("wd", "words").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.min("fields").alias("fields"))
+    wordings = materialised(wordings.where(F.lit(single) | (F.col("copies") > 1) | F.col("fields").isNotNull()))
     lists = wordings.where("fields IS NOT NULL").groupBy(digest(F.col("fields")).alias("fd"), "fields").agg(
         F.min("first_id").alias("first_id"), F.sum("copies").alias("copies")
     )
@@ -115,7 +118,7 @@ def collapse_duplicates(df: DataFrame, *, id_col: str, text_col: str, json_depth
     is counted but never first unless all ids of the group are null; an empty table gives an
     empty table; other columns don't matter.
     """
-    _, wordings, lists = _wordings(df, id_col, text_col, json_depth)
+    _, wordings, lists = _wordings(df, id_col, text_col, json_depth, True)
     plain = wordings.where("fields IS NULL").select("first_id", "copies")
     return plain.unionByName(lists.select("first_id", "copies"))
 
@@ -127,7 +130,7 @@ def duplicate_members(df: DataFrame, *, id_col: str, text_col: str, json_depth:
     number and are joined by broadcast; all others by a shuffle on the digest. The cases are
     those of ``collapse_duplicates``.
     """
-    rows, wordings, lists = _wordings(df, id_col, text_col, json_depth)
+    rows, wordings, lists = _wordings(df, id_col, text_col, json_depth, False)
     plain = wordings.where("fields IS NULL AND copies > 1").select("wd", "words", "first_id", "copies")
     root = lists.where("copies > 1").select("fd", F.col("fields").alias("f"), F.col("first_id").alias("root"), F.col("copies").alias("all"))
     listed = wordings.where("fields IS NOT NULL").join(root, (digest(F.col("fields")) == F.col("fd")) & (F.col("fields") == F.col("f")))
