@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltwork.config import WriterConfig
@@ -214,14 +214,9 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(F.concat_ws("-", F.col("aug_id").cast("string"), F.col("i").cast("string")).alias("id"), "a", "b")
 
 
-def _fold(c: str) -> Column:
-    """ASCII letters, digits and spaces only: DuckDB measures distance in bytes."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9 ]", ""), " +", " "))
-
-
 def levenshtein_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edit distance, absolute and relative, of folded originals and variants."""
-    p = _pairs(spark, sf_dir).withColumn("a", _fold("a")).withColumn("b", _fold("b"))
+    """Edit distance in code points, absolute and relative, of originals and variants in lower case."""
+    p = _pairs(spark, sf_dir).withColumn("a", F.lower("a")).withColumn("b", F.lower("b"))
     return p.select("id", F.levenshtein("a", "b").alias("distance"), F.round(similarity.levenshtein_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
 
 
@@ -246,9 +241,10 @@ def pair_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Variants by the issues that the gate finds (folded texts, no corpus)."""
-    p = _pairs(spark, sf_dir).withColumn("a", _fold("a")).withColumn("b", _fold("b"))
-    gate = similarity.quality_gate(p, similarity.pair_cosine(p))
+    """Variants by the issues that the gate finds, with the original texts as corpus."""
+    p = _pairs(spark, sf_dir)
+    originals = table(spark, sf_dir, "augmentation_result").select(F.col("original_text").alias("text"))
+    gate = similarity.quality_gate(p, similarity.pair_cosine(p, corpus=originals))
     return gate.groupBy(F.array_join("issues", ",").alias("issues"), "is_valid").agg(F.count("*").alias("n"))
 
 
