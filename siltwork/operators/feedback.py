@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltwork.config import FeedbackConfig
+from siltwork.operators.ranking import ranked_within
 
 
 def review_batch(df: DataFrame, queued: DataFrame, *, low: float = 0.5, capacity: int = 10_000, text: str = "text", confidence: str = "confidence", id_col: str = "row_id") -> DataFrame:
@@ -62,16 +63,25 @@ def last_messages(df: DataFrame, *, user: str, at: str, id_col: str, n: int = 10
     return df.where(F.col(user).isNotNull()).withColumn("turn", turn).where(F.col("turn") <= n)
 
 
-def preferences(df: DataFrame, *, user: str, domain: str, at: str, id_col: str, depth: int = 40) -> DataFrame:
-    """``user``, ``domain``, ``weight``: each message halves what went before and adds half.
+def preferences(df: DataFrame, *, user: str, domain: str, at: str, id_col: str) -> DataFrame:
+    """``user``, ``domain``, ``weight``, ``place``: each message halves what went before and adds half.
 
-    Message k of n counts 2^-(n-k+1), the first 2^-(n-1). Beyond ``depth`` messages back a weight
-    is under 2^-40 and lost in the rounding of doubles, so only the latest ``depth`` are looked at.
+    Message k of n counts 2^-(n-k+1), the first 2^-(n-1), over all messages of a user. ``place``
+    orders a user's domains by exact weight, equal weights alike: a weight may be less than a
+    double can hold, but it is a binary number whose digits are the places of the domain's
+    messages, so the domain seen later weighs more. Only a domain that holds all messages before
+    the single one of another is as heavy as that.
     """
-    latest = last_messages(df, user=user, at=at, id_col=id_col, n=depth)
-    n = F.count("*").over(W.partitionBy(user))
-    weight = F.when((F.col("turn") == n) & (n < depth), F.pow(F.lit(2.0), 1.0 - n)).otherwise(F.pow(F.lit(2.0), -F.col("turn").cast("double")))
-    return latest.withColumn("w", weight).groupBy(F.col(user).alias("user"), F.col(domain).alias("domain")).agg(F.sum("w").alias("weight"))
+    rows = df.where(F.col(user).isNotNull()).select(F.col(user).alias("user"), F.col(domain).alias("domain"), F.col(at).alias("at"), F.col(id_col).alias("id"))
+    back = ranked_within(rows, F.col("user"), [F.desc("at"), F.desc("id")], "back")
+    per = back.groupBy("user", "domain").agg(F.min("back").alias("latest"), F.max("back").alias("oldest"), F.count("*").alias("n"), F.sum(F.pow(F.lit(2.0), -F.col("back").cast("double"))).alias("w"))
+    of_user, by_latest = W.partitionBy("user"), W.partitionBy("user").orderBy("latest")
+    all_ = F.max("oldest").over(of_user)
+    weight = F.col("w") + F.when(F.col("oldest") == all_, F.pow(F.lit(2.0), -all_.cast("double"))).otherwise(0.0)
+    rest = F.col("n") == all_ - F.col("latest") + 1
+    single = (F.lag("n").over(by_latest) == 1) & (F.lag("latest").over(by_latest) == F.col("latest") - 1)
+    place = F.row_number().over(by_latest) - F.coalesce((rest & single).cast("int"), F.lit(0))
+    return per.select("user", "domain", weight.alias("weight"), place.alias("place"))
 
 
 def context_statistics(df: DataFrame, *, user: Column, at: Column, as_of: datetime.datetime, hours: int = 24) -> DataFrame:
@@ -88,8 +98,10 @@ def example_texts(examples: DataFrame) -> DataFrame:
 
 
 def preferred_domains(weights: DataFrame, k: int = 3) -> DataFrame:
-    """``user``, ``turn``, ``domain``: the ``k`` domains of most weight of each user."""
-    turn = F.row_number().over(W.partitionBy("user").orderBy(F.desc(F.round("weight", 9)), "domain"))
+    """``user``, ``turn``, ``domain``: the ``k`` domains of most weight of each user, by ``place``
+    where there is one."""
+    heaviest = F.col("place") if "place" in weights.columns else F.desc("weight")
+    turn = F.row_number().over(W.partitionBy("user").orderBy(heaviest, "domain"))
     return weights.withColumn("turn", turn).where(F.col("turn") <= k).select("user", "turn", "domain")
 
 
