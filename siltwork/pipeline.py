@@ -23,9 +23,10 @@ class Pipeline:
         self.spark, self.classifier, self.etl, self.writer = spark, classifier, etl, writer
         self.store = VersionStore(spark, root)
 
-    def ingest(self, path: str, source: str = "upload") -> DataFrame:
-        """Normalised records of a file; rows get ids in the order of the file where they have none."""
-        raw = read_any(self.spark, path)
+    def ingest(self, path: str, source: str = "upload", *, multi_line: bool = True) -> DataFrame:
+        """Normalised records of a file; rows get ids in the order of the file where they have none.
+        A CSV without line breaks within quotes may be split among tasks by ``multi_line=False``."""
+        raw = read_any(self.spark, path, multi_line=multi_line)
         if "row_id" not in raw.columns:
             raw = raw.withColumn("row_id", F.monotonically_increasing_id())
         return process_records(raw, source=source, config=self.etl)

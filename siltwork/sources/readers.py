@@ -8,6 +8,7 @@ import io
 import os
 import re
 import zipfile
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,21 +20,15 @@ SNIFF_BYTES = 65_536
 SEPARATORS = (",", ";", "\t", "|")
 
 
-def detect_encoding(head: bytes) -> str:
+def detect_encoding(data: bytes) -> str:
     """utf-8 (with or without mark), windows-1251 or latin-1, the first that can read the bytes."""
-    if head.startswith(b"\xef\xbb\xbf"):
-        return "utf-8"
-    for cut in range(4):  # the head may end within a character
+    for name, codec in (("utf-8", "utf-8"), ("windows-1251", "cp1251")):
         try:
-            head[: len(head) - cut].decode("utf-8")
-            return "utf-8"
+            data.decode(codec)
+            return name
         except UnicodeDecodeError:
             continue
-    try:
-        head.decode("cp1251")
-        return "windows-1251"
-    except UnicodeDecodeError:
-        return "iso-8859-1"
+    return "iso-8859-1"
 
 
 def detect_separator(text: str) -> str:
@@ -50,33 +45,48 @@ def detect_separator(text: str) -> str:
 
 def _head(spark: SparkSession, path: str) -> bytes:
     """The first bytes of a file, wherever Hadoop can read it."""
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.getFileStatus(target).isDirectory():
-        files = sorted(str(s.getPath()) for s in fs.listStatus(target) if not s.getPath().getName().startswith(("_", ".")))
-        if not files:
-            return b""
-        target = jvm.org.apache.hadoop.fs.Path(files[0])
-    stream = fs.open(target)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).open(target)
     try:
         return bytes(stream.readNBytes(SNIFF_BYTES))
     finally:
         stream.close()
 
 
-def read_csv(spark: SparkSession, path: str, *, multi_line: bool = False) -> DataFrame:
-    """CSV with header; separator and encoding are found out from its head.
+def file_encodings(spark: SparkSession, path: str) -> dict[str, str]:
+    """Encoding of each file that isn't empty, as ``detect_encoding`` tells it from all bytes.
+
+    The files are read in parallel by lines: no character of the three encodings holds the byte
+    of a line break unless it is one, so lines can be judged one by one.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    utf8 = F.is_valid_utf8("value")
+    # 98 is the one byte that windows-1251 doesn't know; it may also stand in a line that is UTF-8.
+    b98 = F.hex(F.col("value").cast("binary")).rlike("^(?:..)*?98")
+    rows = lines.groupBy("file").agg(F.bool_and(utf8).alias("utf8"), F.bool_or(b98).alias("b98"))
+    return {unquote(r["file"]): "utf-8" if r["utf8"] else "iso-8859-1" if r["b98"] else "windows-1251" for r in rows.collect()}
+
+
+def read_csv(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
+    """CSV with header, all columns strings; the encoding of each file is found out from all of it,
+    the separator from its head. Files of one kind are read together, kinds are joined by name.
 
-    Line breaks within quotes need ``multi_line``, and then a file can't be split among tasks.
+    Quoted values may hold line breaks (read as ``\\n``), so a file is read by one task. Where it is known that none
+    does, ``multi_line=False`` splits files among tasks.
     """
-    head = _head(spark, path)
-    encoding = detect_encoding(head)
-    if encoding == "windows-1251":
+    kinds: dict[tuple[str, str, str], list[str]] = {}
+    for file, encoding in sorted(file_encodings(spark, path).items()):
+        head = _head(spark, file).decode({"windows-1251": "cp1251", "iso-8859-1": "latin-1"}.get(encoding, "utf-8-sig"), errors="ignore")
+        kinds.setdefault((encoding, detect_separator(head), next(iter(io.StringIO(head)), "")), []).append(file)
+    if any(encoding == "windows-1251" for encoding, _, _ in kinds):
         # Spark reads charsets beyond its short list only under this setting.
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    text = head.decode({"windows-1251": "cp1251", "iso-8859-1": "latin-1"}.get(encoding, "utf-8-sig"), errors="ignore")
-    return spark.read.csv(path, sep=detect_separator(text), encoding=encoding, header=True, quote='"', escape='"', multiLine=multi_line)
+    out = None
+    for (encoding, sep, _), files in kinds.items() or {("utf-8", ",", ""): [path]}.items():
+        names = [re.sub(r"([\[\]{}*?\\])", r"\\\1", f) for f in files]  # no patterns
+        part = spark.read.csv(names, sep=sep, encoding=encoding, header=True, quote='"', escape='"', multiLine=multi_line)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
@@ -165,13 +175,13 @@ def read_workbook(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("workbook").load(path)
 
 
-def read_any(spark: SparkSession, path: str) -> DataFrame:
-    """By the ending of the path; an unknown one is a ValueError."""
+def read_any(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
+    """By the ending of the path; an unknown one is a ValueError. ``multi_line`` is for CSV."""
     readers = {".csv": read_csv, ".json": read_json, ".jsonl": read_jsonl, ".xlsx": read_workbook, ".parquet": lambda s, p: s.read.parquet(p)}
     ending = os.path.splitext(path.rstrip("/"))[1].lower()
     if ending not in readers:
         raise ValueError(f"no reader for {ending or path}")
-    return readers[ending](spark, path)
+    return read_csv(spark, path, multi_line=multi_line) if ending == ".csv" else readers[ending](spark, path)
 
 
 def recent(df: DataFrame, at: str, *, as_of: datetime.datetime, days: int = 7, where: Column | None = None, limit: int | None = None) -> DataFrame:
