@@ -9,6 +9,11 @@ structures are compared in full.
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,44 +36,120 @@ def _node(kind: str, children: Column) -> Column:
     return F.concat(F.lit(f"\x02{kind}\x1f"), F.array_join(children, "\x1f"), F.lit("\x03"))
 
 
-def _json_value(raw: Column, depth: int) -> Column:
-    """Canonical form of a JSON value given as text (a string comes without its quotes)."""
-    if depth == 0:
-        return leaf(raw)
-    members = F.from_json(raw, "map<string,string>", {"mode": "PERMISSIVE"})
-    items = F.from_json(raw, "array<string>", {"mode": "PERMISSIVE"})
-    head = F.substring(F.ltrim(raw), 1, 1)
-    return (
-        F.when((head == "{") & members.isNotNull() & (F.size(members) > 0), _members(members, depth - 1))
-        .when(
-            (head == "[") & items.isNotNull(),
-            _node("list", F.transform(items, lambda x: F.coalesce(_json_value(x, depth - 1), F.lit("\x00")))),
-        )
-        .otherwise(leaf(raw))
-    )
+_TOKEN = re.compile(
+    r"""[ \t\r\n]*(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\.)*")|('(?:[^'\\\x00-\x1f]|\\.)*')|([^ \t\r\n{}\[\],:"']+))"""
+)
+_SCALAR = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null|NaN|[+-]?INF|[+-]?Infinity", re.ASCII)
+_NOTHING = object()
 
 
-def _members(members: Column, depth: int) -> Column:
-    fields = F.transform(
-        F.map_entries(members),
-        lambda e: F.concat(leaf(e["key"]), F.lit("\x1e"), F.coalesce(_json_value(e["value"], depth), F.lit(""))),
-    )
-    return _node("fields", F.array_sort(F.filter(fields, lambda x: x != "\x1e")))
+def _string(token: str) -> str:
+    """What a quoted JSON string stands for; a ValueError if it is none."""
+    if token[0] == "'":
+        token = '"' + re.sub(r"\\(.)|\"", lambda m: "'" if m[1] == "'" else m[0] if m[1] else '\\"', token[1:-1], flags=re.DOTALL) + '"'
+    return json.loads(token).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
-def with_structure(df: DataFrame, text: str, json_depth: int = 3) -> DataFrame:
+def canonical_json(text: str, normal: Callable[[str], str], kinds: str = "{") -> str | None:
+    """Canonical form of a text that is wholly one JSON object (or one of ``kinds``), nested to any
+    depth, else None. ``normal`` gives the normal form of each leaf, in the order of the text.
+
+    A string that is itself such a text counts as what it holds. An object without members is an
+    empty leaf. Strings may have single quotes.
+    """
+    stack: list[tuple[str, list[str], list[str]]] = []  # kind, children, name that waits for its value
+    at, value, end = 0, _NOTHING, len(text.rstrip(" \t\r\n"))
+    state = "value"  # what may come: value, first (value or end of a list), name, first name, colon, next, done
+    while at < end:
+        m = _TOKEN.match(text, at)
+        if m is None or state == "done":
+            return None
+        at = m.end()
+        mark, double, single, bare = m.groups()
+        value = _NOTHING
+        if mark and mark in "{[" and state in ("value", "first") and (stack or mark in kinds):
+            stack.append((mark, [], []))
+            state = "first name" if mark == "{" else "first"
+            continue
+        if mark == ":" and state == "colon":
+            state = "value"
+            continue
+        if mark == "," and state == "next":
+            state = "name" if stack[-1][0] == "{" else "value"
+            continue
+        if mark and mark in "}]":
+            if not stack or (stack[-1][0] == "{") != (mark == "}") or state not in ("next", "first" if mark == "]" else "first name"):
+                return None
+            kind, children, _ = stack.pop()
+            if kind == "[":
+                value = f"\x02list\x1f{'\x1f'.join(children)}\x03"
+            else:
+                value = f"\x02fields\x1f{'\x1f'.join(sorted(c for c in children if c != '\x1e'))}\x03" if children else ""
+        elif mark or not stack:
+            return None
+        else:
+            try:
+                leaf_text = bare if bare is not None else _string(double or single)
+            except ValueError:
+                return None
+            if state in ("name", "first name"):
+                if bare is not None:
+                    return None
+                stack[-1][2].append(normal(leaf_text))
+                state = "colon"
+                continue
+            if state not in ("value", "first") or (bare is not None and not _SCALAR.fullmatch(bare)):
+                return None
+            if bare == "null":
+                value = "" if stack[-1][0] == "{" else "\x00"
+            else:
+                inner = None
+                if bare is None and leaf_text.lstrip()[:1] in ("{", "[") and canonical_json(leaf_text, lambda _: "", "{[") is not None:
+                    inner = canonical_json(leaf_text, normal, "{[")
+                value = normal(leaf_text) if inner is None else inner
+        if stack:
+            kind, children, names = stack[-1]
+            children.append(f"{names.pop()}\x1e{value}" if kind == "{" else value)
+            state = "next"
+        else:
+            state = "done"
+    return value if state == "done" and value else None
+
+
+def _json_leaves(texts: pa.Array) -> pa.Array:
+    """Names and values of each JSON object in their order; null for a text that is none."""
+    out = []
+    for t in texts.to_pylist():
+        leaves: list[str] = []
+        found = t is not None and canonical_json(t, lambda x: leaves.append(x) or "", "{") is not None
+        out.append(leaves if found else None)
+    return pa.array(out, pa.list_(pa.string()))
+
+
+def _json_canonical(texts: pa.Array, leaves: pa.Array) -> pa.Array:
+    """Canonical form of each JSON object whose leaves have their normal form."""
+    out = []
+    for t, normal in zip(texts.to_pylist(), leaves.to_pylist()):
+        rest = iter(normal or ())
+        out.append(None if t is None or normal is None else canonical_json(t, lambda _: next(rest), "{"))
+    return pa.array(out, pa.string())
+
+
+def with_structure(df: DataFrame, text: str) -> DataFrame:
     """Add ``__sw_words`` (plain normal form) and ``__sw_fields`` (canonical form of a field list).
 
     ``__sw_fields`` is null unless the text is wholly a list of at least two named fields or a
-    JSON object; JSON nested deeper than ``json_depth`` is taken as ordered text.
+    JSON object, at most between marks that are no letters or digits. Leaves of JSON, few against
+    all texts, are normalised by the same expression as those of lists.
     """
     raw = F.col(f"`{text}`")
     segments = F.filter(F.split(raw, _SEPARATORS), lambda s: F.regexp_like(s, F.lit(r"[\p{L}\p{N}]")))
     maybe = raw.contains(":") | raw.contains("：")
-    looks_json = raw.rlike(r"(?s)^\W*\{.*\}\W*$") & raw.contains('"')
+    outside = r"[^\p{L}\p{N}]*"
+    looks_json = raw.rlike(rf"(?s)^{outside}\{{.*\}}{outside}$") & raw.contains('"')
     df = df.withColumn("__sw_words", leaf(raw))
     df = df.withColumn("__sw_segments", F.when(maybe & ~looks_json & raw.rlike(_SEPARATORS), segments))
-    df = df.withColumn("__sw_json", F.when(looks_json, F.from_json(F.regexp_extract(raw, r"(?s)\{.*\}", 0), "map<string,string>")))
+    df = df.withColumn("__sw_json", F.when(looks_json, F.regexp_extract(raw, r"(?s)\{.*\}", 0)))
     seg = F.col("__sw_segments")
     field = lambda s: F.concat(
         leaf(F.substring_index(F.regexp_replace(s, _NAME_END, ":"), ":", 1)),
@@ -79,8 +160,9 @@ def with_structure(df: DataFrame, text: str, json_depth: int = 3) -> DataFrame:
         (F.size(seg) >= 2) & F.forall(seg, lambda s: F.regexp_like(s, F.lit(_FIELD))),
         _node("fields", F.array_sort(F.transform(seg, field))),
     )
-    as_json = F.when(F.size("__sw_json") >= 1, _members(F.col("__sw_json"), json_depth - 1))
-    return df.withColumn("__sw_fields", F.coalesce(as_json, listed)).drop("__sw_segments", "__sw_json")
+    df = df.withColumn("__sw_json_leaves", F.transform(F.arrow_udf(_json_leaves, "array<string>")("__sw_json"), leaf))
+    as_json = F.arrow_udf(_json_canonical, "string")("__sw_json", "__sw_json_leaves")
+    return df.withColumn("__sw_fields", F.coalesce(as_json, listed)).drop("__sw_segments", "__sw_json", "__sw_json_leaves")
 
 
 def digest(c: Column) -> Column:
@@ -88,7 +170,7 @@ def digest(c: Column) -> Column:
     return F.unhex(F.md5(c))
 
 
-def _wordings(df: DataFrame, id_col: str, text_col: str, json_depth: int, single: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _wordings(df: DataFrame, id_col: str, text_col: str, single: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (``id``, ``wd``, ``words``), their distinct wordings (if not ``single``, only repeated
     ones and field lists), and the field lists among these.
 
@@ -96,7 +178,7 @@ def _wordings(df: DataFrame, id_col: str, text_col: str, json_depth: int, single
     confirms equality in full and is combined before the shuffle, so a group with a third of all
     rows is no burden. Wordings of field lists, few against all, then meet by their fields.
     """
-    base = with_structure(df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t")), "t", json_depth)
+    base = with_structure(df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t")), "t")
     words = F.col("__sw_words")
     base = materialised(base.where(words != "").select("id", words.alias("words"), F.col("__sw_fields").alias("fields")))
     base = base.withColumn("wd", digest(F.col("words")))
@@ -108,7 +190,7 @@ def _wordings(df: DataFrame, id_col: str, text_col: str, json_depth: int, single
     return base.select("id", "wd", "words"), wordings, lists
 
 
-def collapse_duplicates(df: DataFrame, *, id_col: str, text_col: str, json_depth: int = 3) -> DataFrame:
+def collapse_duplicates(df: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     """``first_id``, ``copies``: one row for each group of records with the same text.
 
     A field list and a plain text with the same wording are the same; of several readings of one
@@ -118,19 +200,19 @@ def collapse_duplicates(df: DataFrame, *, id_col: str, text_col: str, json_depth
     is counted but never first unless all ids of the group are null; an empty table gives an
     empty table; other columns don't matter.
     """
-    _, wordings, lists = _wordings(df, id_col, text_col, json_depth, True)
+    _, wordings, lists = _wordings(df, id_col, text_col, True)
     plain = wordings.where("fields IS NULL").select("first_id", "copies")
     return plain.unionByName(lists.select("first_id", "copies"))
 
 
-def duplicate_members(df: DataFrame, *, id_col: str, text_col: str, json_depth: int = 3, heavy_share: int = 1000) -> DataFrame:
+def duplicate_members(df: DataFrame, *, id_col: str, text_col: str, heavy_share: int = 1000) -> DataFrame:
     """``first_id``, ``id``: each record that repeats an earlier one, with the group's first.
 
     Groups that hold more than one in ``heavy_share`` of all rows are at most ``heavy_share`` in
     number and are joined by broadcast; all others by a shuffle on the digest. The cases are
     those of ``collapse_duplicates``.
     """
-    rows, wordings, lists = _wordings(df, id_col, text_col, json_depth, False)
+    rows, wordings, lists = _wordings(df, id_col, text_col, False)
     plain = wordings.where("fields IS NULL AND copies > 1").select("wd", "words", "first_id", "copies")
     root = lists.where("copies > 1").select("fd", F.col("fields").alias("f"), F.col("first_id").alias("root"), F.col("copies").alias("all"))
     listed = wordings.where("fields IS NOT NULL").join(root, (digest(F.col("fields")) == F.col("fd")) & (F.col("fields") == F.col("f")))
