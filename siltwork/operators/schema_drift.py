@@ -69,23 +69,23 @@ def value_features(value: object) -> Counter:
     out: Counter = Counter()
     if isinstance(value, dict):
         for k in value:
-            out[f"k:{clean_name(k)}"[:40]] += 1 / len(value)
-    leaves = list(_leaves(value))[:64]
+            out[f"k:{clean_name(k)}"] += 1 / len(value)
+    leaves = list(_leaves(value))
     for leaf in leaves:
         share = 1 / len(leaves)
         text = str(leaf).lower() if not isinstance(leaf, bool) else ("true" if leaf else "false")
-        words = _WORD.findall(text)[:64]
+        words = _WORD.findall(text)
         for w in words:
             out[_bucket("w", w)] += share / len(words)
         if not words:
             out["w-"] += share
-        numbers = _NUMBER.findall(text)[:8]
+        numbers = _NUMBER.findall(text)
         for x in numbers:
-            magnitude = math.log10(float(x)) if float(x) > 0 else -3
+            magnitude = math.log10(min(float(x), 1e9)) if float(x) > 0 else -3
             out[f"n{max(-3, min(18, math.floor(2 * magnitude)))}"] += share / len(numbers)
         if not numbers:
             out["n-"] += share
-        shape = re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", "9", text[:48]))
+        shape = re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", "9", text))
         out[_bucket("s", shape)] += share
         out["b1" if text in _YES_NO else "b0"] += share
         out[f"l{min(9, len(text).bit_length())}"] += share
