@@ -24,13 +24,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltwork.session import materialised
+from siltwork.session import bounded_broadcast, materialised
 
 TYPES = ("string", "integer", "number", "boolean", "array", "object")
 _YES_NO = {"true", "false", "yes", "no", "y", "n", "да", "нет", "0", "1"}
 _WORD = re.compile(r"[^\W\d_]{2,}")
 _NUMBER = re.compile(r"\d+(?:\.\d+)?")
 _BUCKETS = 64
+#: Feature of metadata that is no object; no histogram begins like this.
+_PLAIN = "x:plain"
+#: Stands for the file of lines without one.
+_NO_FILE = -(2**63)
 
 
 def type_name(value: object) -> str:
@@ -93,6 +97,16 @@ def value_features(value: object) -> Counter:
     return out
 
 
+def opened(value: object) -> dict | None:
+    """The object that a value is or, as text, holds; else None."""
+    if isinstance(value, str):
+        try:
+            value = json.loads(value)
+        except (ValueError, RecursionError):
+            return None
+    return value if isinstance(value, dict) else None
+
+
 def parse_line(payload: str | None) -> dict[str, object] | None:
     """Fields of a line by path (``x``, ``metadata.x``), or null if it is no readable object."""
     try:
@@ -107,13 +121,8 @@ def parse_line(payload: str | None) -> dict[str, object] | None:
         if value is not None:
             out[key] = value
         if key == "metadata":
-            inner = value
-            if isinstance(value, str):
-                try:
-                    inner = json.loads(value)
-                except (ValueError, RecursionError):
-                    inner = None
-            if isinstance(inner, dict):
+            inner = opened(value)
+            if inner is not None:
                 out.update({f"metadata.{clean_name(k)}": v for k, v in inner.items() if v is not None})
     return out
 
@@ -127,6 +136,8 @@ def _profile_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                     continue
                 c = sums[file_id, field]
                 c[f"t:{type_name(value)}"] += 1
+                if field == "metadata" and opened(value) is None:
+                    c[_PLAIN] += 1
                 c.update(value_features(value))
         rows = [(f, name, feature, float(n)) for (f, name), c in sums.items() for feature, n in c.items()]
         cols = list(zip(*rows)) if rows else [[], [], [], []]
@@ -267,21 +278,27 @@ def file_changes(left: dict[str, dict], right: dict[str, dict], shared: dict[str
     return out
 
 
-def schema_changes(files: DataFrame, lines: DataFrame, *, threshold: float = 0.5, max_names: int = 10_000) -> DataFrame:
+def _file_order(files: DataFrame) -> DataFrame:
+    """``file_id``, ``period_start``, ``feed``: each file once, by its earliest period."""
+    return (
+        files.where("file_id IS NOT NULL").groupBy("file_id").agg(F.min(F.struct("period_start", "feed")).alias("f"))
+        .select(F.col("file_id").cast("long").alias("file_id"), "f.*")
+    )
+
+
+def schema_changes(files: DataFrame, lines: DataFrame, *, threshold: float = 0.5, max_names: int = 10_000, profiles: DataFrame | None = None) -> DataFrame:
     """``file_id``, ``change_kind``, ``old_field``, ``new_field`` of each file against the one before.
 
     ``files``: ``file_id``, ``feed``, ``period_start``; the order in a feed is by period and then
     id. ``lines``: ``file_id`` and ``payload``, a JSON object. A repeated row of ``files`` counts
     once (earliest period); files without feed form one feed; a file without any readable line
     has no fields; lines of unknown files are ignored. More than ``max_names`` different names are
-    a ValueError. Empty tables give an empty table.
+    a ValueError. Empty tables give an empty table. ``profiles``: those of the lines, where the
+    caller has them.
     """
-    order = (
-        files.where("file_id IS NOT NULL").groupBy("file_id").agg(F.min(F.struct("period_start", "feed")).alias("f"))
-        .select(F.col("file_id").cast("long").alias("file_id"), "f.*")
-    )
+    order = _file_order(files)
     before = order.select("file_id", F.lag("file_id").over(W.partitionBy("feed").orderBy("period_start", "file_id")).alias("prev")).where("prev IS NOT NULL")
-    profiles = materialised(field_profiles(lines))
+    profiles = materialised(field_profiles(lines)) if profiles is None else profiles
     # What a name holds over all files: names are few, whatever the data; proven by the limit.
     sums = profiles.select("field", F.explode("profile").alias("feature", "n")).groupBy("field", "feature").agg(F.sum("n").alias("n"))
     everywhere = sums.groupBy("field").agg(F.map_from_entries(F.collect_list(F.struct("feature", "n"))).alias("shared"))
@@ -305,38 +322,91 @@ def schema_changes(files: DataFrame, lines: DataFrame, *, threshold: float = 0.5
     )
 
 
-def steady_names(changes: DataFrame, profiles: DataFrame, max_names: int = 10_000) -> tuple[dict[str, str], dict[str, str]]:
-    """(steady name by field, Spark type by steady name).
+def feed_names(fields: dict[int, set[str]], renames: dict[int, dict[str, str]], files: dict[str, int]) -> dict[tuple[int, str], str]:
+    """Steady name by (file, field) of one feed, of the fields that get another name than theirs.
+
+    ``fields`` by position of the file; ``renames``: old name by new one, by position; ``files``:
+    in how many files of all feeds a name is. A field goes on into the next file under its name or
+    the one that a rename gives it, and after a pause under its last name, so it is at most one
+    name in each file. It is called by the one of its names that most files use and that no file
+    of its own holds beside it; if there is none, each file keeps its name. So no two fields of a
+    file, and of a line, ever share a steady name.
+    """
+    histories: list[list[tuple[int, str]]] = []
+    current: dict[str, int] = {}
+    ended: dict[str, int] = {}
+    last = None
+    for at in sorted(fields):
+        if last is not None and at != last + 1:
+            ended.update(current)
+            current = {}
+        back = renames.get(at, {})
+        before = {f: back.get(f, f) for f in sorted(fields[at])}
+        ended.update({f: h for f, h in current.items() if f not in before.values()})
+        now = {}
+        for f, old in before.items():
+            h = current.get(old)
+            if h is None:
+                h = ended.pop(f, None)
+            if h is None:
+                h = len(histories)
+                histories.append([])
+            histories[h].append((at, f))
+            now[f] = h
+        current, last = now, at
+    out: dict[tuple[int, str], str] = {}
+    taken: set[tuple[int, str]] = set()
+    for history in sorted(histories, key=lambda h: (-len(h), h)):
+        names = {f for _, f in history}
+        if len(names) == 1:
+            continue
+        for name in sorted(names, key=lambda f: (-files.get(f, 0), f)):
+            if all(f == name or (name not in fields[at] and (at, name) not in taken) for at, f in history):
+                taken |= {(at, name) for at, _ in history}
+                out |= {(at, f): name for at, f in history if f != name}
+                break
+    return out
+
+
+def steady_names(files: DataFrame, changes: DataFrame, profiles: DataFrame, max_names: int = 10_000) -> tuple[DataFrame, dict[str, str]]:
+    """(``file_id``, ``field``, ``steady`` of the fields that get another name; Spark type by steady name).
 
-    Fields that a rename ties, directly or through others, share the name that most files use.
-    Only distinct names reach the driver; more than ``max_names`` of them is a ValueError.
+    Names are given in each feed by itself, see ``feed_names``; what reaches one task is the names
+    of the fields of one feed's files. Only distinct names reach the driver; more than
+    ``max_names`` of them is a ValueError.
     """
-    rows = profiles.select("field", F.explode("profile").alias("feature", "n")).where("feature LIKE 't:%'")
-    rows = rows.groupBy("field", "feature").agg(F.count("*").alias("files"))
-    kinds: dict[str, Counter] = defaultdict(Counter)
-    for r in rows.limit(max_names * len(TYPES) + 1).collect():
-        kinds[r["field"]][r["feature"][2:]] += r["files"]
-    if len(kinds) > max_names:
+    used = {r["field"]: r["count"] for r in profiles.groupBy("field").count().limit(max_names + 1).collect()}
+    if len(used) > max_names:
         raise ValueError(f"more than {max_names} field names")
-    root = {f: f for f in kinds}
-
-    def find(x: str) -> str:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for r in changes.where("change_kind = 'renamed'").select("old_field", "new_field").distinct().collect():
-        a, b = find(r["old_field"]), find(r["new_field"])
-        if a != b:
-            best, other = sorted((a, b), key=lambda x: (-sum(kinds[x].values()), x))
-            root[other] = best
-    names = {f: find(f) for f in kinds}
+    place = F.row_number().over(W.partitionBy("feed").orderBy("period_start", "file_id"))
+    order = _file_order(files).select("feed", "file_id", place.alias("at"))
+    none = F.lit(None).cast("string")
+    rows = profiles.select("file_id", none.alias("old"), F.col("field").alias("new"))
+    rows = rows.unionByName(changes.where("change_kind = 'renamed'").select("file_id", F.col("old_field").alias("old"), F.col("new_field").alias("new")))
+
+    def name(feed: pd.DataFrame) -> pd.DataFrame:
+        fields: dict[int, set[str]] = defaultdict(set)
+        renames: dict[int, dict[str, str]] = defaultdict(dict)
+        ids = dict(zip(feed["at"], feed["file_id"]))
+        for at, old, new in zip(feed["at"], feed["old"], feed["new"]):
+            if old is None:
+                fields[at].add(new)
+            else:
+                renames[at][new] = old
+        found = feed_names(fields, renames, used)
+        return pd.DataFrame([(ids[at], f, s) for (at, f), s in found.items()], columns=["file_id", "field", "steady"])
+
+    steady = materialised(rows.join(order, "file_id").groupBy("feed").applyInPandas(name, "file_id long, field string, steady string"))
+    kinds = profiles.select("file_id", "field", F.explode(F.map_keys("profile")).alias("kind")).where(F.col("kind").like("t:%") | (F.col("kind") == _PLAIN))
+    kinds = kinds.join(bounded_broadcast(steady), ["file_id", "field"], "left").select(F.coalesce("steady", "field").alias("name"), "kind").distinct()
     seen: dict[str, set] = defaultdict(set)
-    for f, c in kinds.items():
-        seen[names[f]] |= set(c)
+    for r in kinds.collect():
+        seen[r["name"]].add(r["kind"][2:])
+    if "metadata" in seen:
+        # Its members have columns of their own; what is no object stays text.
+        seen["metadata"] = {"string"} if _PLAIN[2:] in seen["metadata"] else set()
     wide = {frozenset({"integer"}): "bigint", frozenset({"number"}): "double", frozenset({"integer", "number"}): "double", frozenset({"boolean"}): "boolean"}
-    return names, {name: wide.get(frozenset(t), "string") for name, t in seen.items()}
+    return steady, {n: wide.get(frozenset(t), "string") for n, t in seen.items() if t}
 
 
 def unified_records(files: DataFrame, lines: DataFrame, *, threshold: float = 0.5, max_names: int = 10_000) -> DataFrame:
@@ -344,11 +414,14 @@ def unified_records(files: DataFrame, lines: DataFrame, *, threshold: float = 0.
     and a column for each steady field, called by its path with ``__`` for the dot.
 
     A column is bigint, double or boolean if all its values are; else a string, with arrays and
-    objects as JSON text. Of several fields of a line that share a steady name the first with a
-    value stands. Unreadable lines have no row. Empty tables give the three id columns alone.
+    objects as JSON text. No two fields of a line share a steady name. ``metadata`` is a column, of
+    text, only where it is no object. Lines without file or of unknown files keep their names.
+    Unreadable lines have no row. Empty tables give the three id columns alone.
     """
-    names, types = steady_names(schema_changes(files, lines, threshold=threshold, max_names=max_names), field_profiles(lines), max_names)
-    fields = sorted(n for n in types if n != "metadata")
+    profiles = materialised(field_profiles(lines.withColumn("file_id", F.coalesce(F.col("file_id").cast("long"), F.lit(_NO_FILE)))))
+    changes = schema_changes(files, lines, threshold=threshold, max_names=max_names, profiles=profiles.where(F.col("file_id") != _NO_FILE))
+    steady, types = steady_names(files, changes, profiles, max_names)
+    fields = sorted(types)
     columns = [re.sub(r"\W", "_", f.replace(".", "__")) for f in fields]
     arrow = {"bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
 
@@ -360,6 +433,7 @@ def unified_records(files: DataFrame, lines: DataFrame, *, threshold: float = 0.
         return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False, sort_keys=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: dict[str | None, dict[str, str]] = {}
         for b in batches:
             kept, values = [], [[] for _ in fields]
             for i, payload in enumerate(b.column(3)):
@@ -367,9 +441,10 @@ def unified_records(files: DataFrame, lines: DataFrame, *, threshold: float = 0.
                 if record is None:
                     continue
                 kept.append(i)
-                steady: dict[str, object] = {}
-                for f, v in record.items():
-                    steady.setdefault(names.get(f, f), v)
+                text = b.column(4)[i].as_py()
+                if text not in names:
+                    names[text] = json.loads(text) if text else {}
+                steady = {names[text].get(f, f): v for f, v in record.items() if f != "metadata" or opened(v) is None}
                 for out, f in zip(values, fields):
                     out.append(cast(steady.get(f), types[f]))
             ids = [b.column(i).take(pa.array(kept, pa.int64())) for i in range(3)]
@@ -378,6 +453,7 @@ def unified_records(files: DataFrame, lines: DataFrame, *, threshold: float = 0.
             )
 
     schema = ", ".join(["line_id long, file_id long, line_no int", *[f"`{c}` {types[f]}" for c, f in zip(columns, fields)]])
-    return lines.select(
-        F.col("line_id").cast("long"), F.col("file_id").cast("long"), F.col("line_no").cast("int"), "payload"
-    ).mapInArrow(run, schema)
+    by_file = steady.groupBy("file_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("field", "steady")))).alias("names"))
+    rows = lines.select(F.col("line_id").cast("long"), F.col("file_id").cast("long"), F.col("line_no").cast("int"), "payload")
+    rows = rows.join(bounded_broadcast(by_file), "file_id", "left")
+    return rows.select("line_id", "file_id", "line_no", "payload", "names").mapInArrow(run, schema)
