@@ -14,7 +14,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -345,12 +345,9 @@ def split_sentences(text: str | None, model: Model) -> list[tuple[int, int]]:
 # --- Operators --------------------------------------------------------------------------------
 
 
-def corpus_statistics(texts: DataFrame) -> Statistics:
-    """Line statistics of the column ``t`` over all rows.
-
-    A word is kept if it makes up more than a 100,000th of the counts of its kind (and at least
-    12): what reaches the driver is at most 400,000 words, however large the corpus.
-    """
+def corpus_statistics(texts: DataFrame, words: Iterable[str] | None = None) -> Statistics:
+    """Line statistics of the column ``t`` over all rows: exact counts of all words, or of ``words``
+    in every kind. What reaches the driver is these, however large the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -363,21 +360,27 @@ def corpus_statistics(texts: DataFrame) -> Statistics:
                 names=["kind", "word", "n"],
             )
 
-    words = texts.select("t").mapInArrow(run, "kind string, word string, n long").groupBy("kind", "word").agg(F.sum("n").alias("n"))
-    totals = {r["kind"]: r["n"] for r in words.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
-    keep = F.lit(False)
-    for kind, n in totals.items():
-        keep = keep | ((F.col("kind") == kind) & (F.col("n") >= max(1, n // 100_000)))
-    rows = words.where(keep).collect()
+    counts = texts.select("t").mapInArrow(run, "kind string, word string, n long")
+    if words is not None:
+        wanted = texts.sparkSession.createDataFrame(pa.table({"word": pa.array(sorted(words), pa.string())}))
+        counts = counts.join(F.broadcast(wanted), "word", "left_semi")
+    rows = counts.groupBy("kind", "word").agg(F.sum("n").alias("n")).collect()
     return Statistics({(r["kind"], r["word"]): r["n"] for r in rows})
 
 
-def fit_model(texts: DataFrame, stats: Statistics, *, sample_rows: int = 4000, sample_chars: int = 20_000) -> Model:
+def sample_words(texts: list[str]) -> set[str]:
+    """The words whose statistics ``certain`` asks for in some texts."""
+    return {_plain(w) for t in texts for line in _LINES.split(t) for c in candidates(line) for w in (c.after, c.before)}
+
+
+def fit_model(texts: DataFrame, *, sample_rows: int = 4000, sample_chars: int = 20_000) -> Model:
     """The classifier, from the ``sample_rows`` texts of least hash that have up to ``sample_chars``
-    characters. This bound is for training alone; statistics and splitting cover every text whole.
+    characters. This bound is for training alone; the words of these texts are counted over every
+    text, and splitting covers every text whole.
     """
-    chosen = texts.where(F.length("t") <= sample_chars).orderBy(F.xxhash64("t"), "t").limit(sample_rows).select("t").collect()
-    return Model().fit(*training_rows([r["t"] for r in chosen], stats))
+    rows = texts.where(F.length("t") <= sample_chars).orderBy(F.xxhash64("t"), "t").limit(sample_rows).select("t").collect()
+    chosen = [r["t"] for r in rows]
+    return Model().fit(*training_rows(chosen, corpus_statistics(texts, sample_words(chosen))))
 
 
 def sentences(df: DataFrame, *, id_col: str, text_col: str = "text", sample_rows: int = 4000) -> DataFrame:
@@ -387,7 +390,7 @@ def sentences(df: DataFrame, *, id_col: str, text_col: str = "text", sample_rows
     on; an empty table gives an empty table; other columns don't matter.
     """
     source = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t")).where("t IS NOT NULL AND t <> ''")
-    model = fit_model(source, corpus_statistics(source), sample_rows=sample_rows)
+    model = fit_model(source, sample_rows=sample_rows)
     shared = df.sparkSession.sparkContext.broadcast(model)
     kind = source.schema["id"].dataType.simpleString()
 
