@@ -1,9 +1,9 @@
-"""Duplicates hidden by formatting: Merkle-style hashing of texts and nested records.
+"""Duplicates hidden by formatting: canonical trees of texts and nested records.
 
 A text is a tree. Plain text is an ordered node of its words and numbers; a list of named
 fields, or a JSON object, is an unordered node of fields. Leaves are normalised (lower case,
-letters and digits only), an unordered node sorts its children, and every node is hashed with
-its kind, from the leaves up. Records with one root digest are a group once their canonical
+letters and digits only), an unordered node sorts its children, and nodes are joined with their
+kind, from the leaves up; only the root is hashed. Records with one root digest are a group once their canonical
 structures are compared in full.
 """
 
