@@ -35,9 +35,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema_changes(table(spark, sf_dir, "raw_file"), table(spark, sf_dir, "raw_line"))
 
 
+#: Names under which fields of one meaning stand in the table of raw lines.
+_NAMES = ("text", "user_id", "ts", "metadata.channel", "metadata.duration_s", "metadata.is_mobile", "metadata.lang", "metadata.priority", "metadata.session_id", "metadata.tags")
+
+
 def p2_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All readable raw lines as one table with steady columns."""
-    return unified_records(table(spark, sf_dir, "raw_file"), table(spark, sf_dir, "raw_line"))
+    """All readable raw lines as one table with steady columns, under the names of the records."""
+    return unified_records(table(spark, sf_dir, "raw_file"), table(spark, sf_dir, "raw_line"), prefer=_NAMES)
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import json
 
-from siltwork.operators.schema_drift import flood, majority_type, name_similarity, parse_line, schema_changes, unified_records, value_features
+from siltwork.operators.schema_drift import (
+    field_features, file_changes, flood, majority_type, name_similarity, parse_line, schema_changes, tied_names, unified_records, value_features,
+)
 
 SCHEMA_F = "file_id long, feed string, period_start timestamp"
 SCHEMA_L = "line_id long, file_id long, line_no int, payload string"
@@ -56,14 +58,14 @@ def test_empty_tables(spark):
     f, lines = tables(spark, [("f", 1, [{"a": 1}])])
     assert schema_changes(f.limit(0), lines).count() == 0
     assert schema_changes(f, lines.limit(0)).count() == 0
-    assert unified_records(f, lines.limit(0)).columns == ["line_id", "file_id", "line_no"]
+    assert unified_records(f, lines.limit(0)).columns == ["line_id", "file_id", "line_no", "rest"]
 
 
 def test_unified_table(spark):
     a = [{"text": t, "n": i, "metadata": {"x": [1, 2], "mix": 1}} for i, t in enumerate(TEXTS)]
     b = [{"msg": t + "?", "n": i + 0.5, "metadata": {"x": [2, 3], "mix": "one"}} for i, t in enumerate(TEXTS)]
     out = unified_records(*tables(spark, [("f", 1, a), ("f", 2, [*b, "oops"])]))
-    assert dict(out.dtypes) == {"line_id": "bigint", "file_id": "bigint", "line_no": "int", "metadata__mix": "string", "metadata__x": "string", "n": "double", "msg": "string"}
+    assert dict(out.dtypes) == {"line_id": "bigint", "file_id": "bigint", "line_no": "int", "metadata__mix": "string", "metadata__x": "string", "n": "double", "msg": "string", "rest": "map<string,string>"}
     rows = out.orderBy("line_id").collect()
     assert len(rows) == 8 and rows[0]["msg"] == TEXTS[0] and rows[7]["n"] == 3.5 and rows[0]["metadata__x"] == "[1, 2]"
 
@@ -76,3 +78,74 @@ def test_pieces():
     near = flood({"x": value_features("2024-01-01")}, {"y": value_features("2024-02-03")}, {})[("x", "y")]
     far = flood({"x": value_features("2024-01-01")}, {"y": value_features({"k": ["слово"]})}, {})[("x", "y")]
     assert near > far
+
+
+def profile(lines):
+    values: dict[str, list] = {}
+    for line in lines:
+        for field, value in parse_line(json.dumps(line)).items():
+            values.setdefault(field, []).append(value)
+    return {f: field_features(v) for f, v in values.items()}
+
+
+def test_nothing_is_renamed_unless_scores_flow():
+    old = profile([{"text": t, "n": i} for i, t in enumerate(TEXTS)])
+    new = profile([{"msg": t + "!", "n": i} for i, t in enumerate(TEXTS)])
+    assert ("renamed", "text", "msg") in file_changes(old, new, {})
+    assert {x[0] for x in file_changes(old, new, {}, propagation=0.0)} == {"removed", "added"}
+
+
+def test_nested_keys_flow_into_their_fields():
+    # Values have nothing in common; what ties the two objects is their keys, one of them renamed,
+    # and that takes more than one round. A third field has as likely a name, and no such keys.
+    old = profile([{"spot": {"district": w, "zone": i, "lat": i + 0.5}} for i, w in enumerate(("Плёс", "Юг", "Север"))])
+    new = profile([{"where": {"district": w, "zone": w, "latitude": w}, "whence": {"p": w, "q": w, "r": w}} for w in ("QQ-1", "ZZ-2", "KK-3")])
+    whole, once = flood(old, new, {}), flood(old, new, {}, rounds=2)
+    assert whole["spot", "where"] > whole["spot", "whence"] and whole["spot", "where"] > once["spot", "where"] + 0.01
+    assert ("renamed", "spot", "where") in file_changes(old, new, {}, threshold=0.25)
+    assert ("renamed", "spot", "where") not in file_changes(old, new, {}, threshold=0.25, propagation=0.0)
+
+
+def test_flooding_settles_and_stays_in_bounds():
+    old = profile([{"a": {"k": 1, "m": "x"}, "b": "один два", "metadata": {"c": 5}}])
+    new = profile([{"d": {"k": 2, "n": "y"}, "e": "один три", "metadata": {"f": 6}}])
+    scores = flood(old, new, {})
+    assert scores == flood(old, new, {}, rounds=300) and all(0 <= s <= 1 for s in scores.values())
+    assert ("metadata", "metadata") not in scores and ("b", "metadata.f") not in scores
+
+
+def test_stray_values_stand_in_rest(spark):
+    rows = [{"n": i, "share": f"0.{i + 1}", "flag": bool(i % 2)} for i in range(18)]
+    rows += [{"n": "many", "share": 0.5, "flag": "yes"}, {"n": 2**70, "share": "half", "flag": {"x": None}, "file_id": "mine", "FILE.ID ": "\ud800"}]
+    out = unified_records(*tables(spark, [("f", 1, rows)]))
+    kinds = dict(out.dtypes)
+    assert (kinds["n"], kinds["share"], kinds["flag"], kinds["file_id_2"], kinds["file__id"]) == ("bigint", "double", "boolean", "string", "string")
+    got = out.orderBy("line_no").collect()
+    assert got[3]["n"] == 3 and got[3]["share"] == 0.4 and got[3]["rest"] is None and got[18]["flag"] is True
+    assert got[18]["rest"] == {"n": '"many"'} and got[19]["rest"] == {"n": str(2**70), "share": '"half"', "flag": '{"x": null}'}
+    assert got[19]["file_id"] == 0 and got[19]["file_id_2"] == "mine"
+
+
+def test_names_of_one_meaning_are_tied_over_feeds(spark):
+    same = [{"text": t + f" {i}", "user": f"u-{i:05d}"} for i, t in enumerate(TEXTS * 3)]
+    other = [{"utterance": t + f" {i}", "uid": f"u-{i + 4:05d}"} for i, t in enumerate(TEXTS * 3)]
+    out = unified_records(*tables(spark, [("f", 1, same), ("g", 1, other)]))
+    assert set(out.columns) == {"line_id", "file_id", "line_no", "text", "uid", "rest"}
+    p = {"a": field_features(["один два"]), "b": field_features(["один два"]), "c": field_features(["один два"])}
+    assert tied_names(p, {}, []) == {"b": "a", "c": "a"}
+    assert tied_names(p, {"a": {"b"}, "b": {"a"}}, [("b", "c")]) == {"c": "b"} and tied_names(p, {}, [], prefer=("z", "c")) == {"a": "c", "b": "c"}
+
+
+def test_a_hot_file_is_read_in_parts(spark):
+    lines = [(i, 1 if i % 3 else i, 0, json.dumps({"a": i, "b": TEXTS[i % 4]})) for i in range(300)]
+    files = spark.createDataFrame([(i, "f", f"2024-01-{i % 28 + 1:02d}") for i in range(300)], "file_id long, feed string, period string").selectExpr("file_id", "feed", "cast(period as timestamp) period_start")
+    from siltwork.operators import schema_drift
+
+    held, schema_drift._HELD = schema_drift._HELD, 10
+    try:
+        table, everywhere = schema_drift.field_profiles(spark.createDataFrame(lines, SCHEMA_L))
+    finally:
+        schema_drift._HELD = held
+    got = {(r["file_id"], r["field"]): (r["kind"], r["profile"]["t:integer" if r["field"] == "a" else "t:string"]) for r in table.collect()}
+    assert got[1, "a"] == ("integer", 200.0) and got[3, "b"] == ("string", 1.0) and len(got) == 2 * 101
+    assert everywhere["a"]["t:integer"] == 300 and schema_changes(files, spark.createDataFrame(lines, SCHEMA_L)).count() > 0
