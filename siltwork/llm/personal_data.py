@@ -1,18 +1,21 @@
 """Personal data in free text: found by validated patterns, replaced by linked pseudonyms.
 
-Numbers are permuted within their format by a keyed Feistel network (valid check digits stay
-valid), so a value reads as before, has the same pseudonym in every document and can be restored
-with the key. Values without a number format (names, addresses, mail addresses) get a keyed tag.
-Each replacement is a typed placeholder. Texts are worked on whole, row by row, with nothing
-shuffled.
+Numbers and birth dates are brought to one notation and permuted within their format by a keyed
+Feistel network, with cycle walking where a format isn't a power of ten: what has valid check
+digits goes to what has them, what hasn't to what hasn't. So a value has the same pseudonym in
+every document, however it was written, no two values share one, and the key restores it. Values
+without such a format (names, addresses, mail addresses) get a keyed tag of 128 bits of their
+normal form. Each replacement is a typed placeholder. Texts are worked on whole, row by row, with
+nothing shuffled, in time that is linear in their length.
 """
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -78,31 +81,85 @@ def luhn_check(body: str) -> str:
     return str(-sum(x - 9 if x > 9 else x for x in doubled) % 10)
 
 
+# Length, digits before the check digits, and their rule, of numbers that have them.
+_CHECKED = {11: (9, snils_check), 10: (9, inn_check), 12: (10, inn_check), 16: (15, luhn_check)}
+
+
+def is_checked(digits: str) -> bool:
+    """Whether the check digits of an insurance, tax or policy number are right."""
+    body, check = _CHECKED.get(len(digits), (0, None))
+    return check is not None and digits[body:] == check(digits[:body])
+
+
+def walk(digits: str, key: bytes, tweak: bytes, inside: Callable[[str], bool], inverse: bool = False) -> str:
+    """A permutation of those digit strings of one length that are ``inside`` (cycle walking)."""
+    while True:
+        digits = feistel(digits, key, tweak, inverse=inverse)
+        if inside(digits):
+            return digits
+
+
+def permute_index(x: int, size: int, key: bytes, tweak: bytes, inverse: bool = False) -> int:
+    """A permutation of 0..size-1."""
+    width = len(str(size - 1))
+    return int(walk(f"{x:0{width}d}", key, tweak, lambda d: int(d) < size, inverse))
+
+
 def permute_number(digits: str, key: bytes, kind: str, inverse: bool = False) -> str:
-    """The pseudonym of a number of a kind: same length; valid check digits stay valid."""
+    """The pseudonym of a number of a kind, of the same length. Numbers with right check digits and
+    those without are permuted each among themselves."""
     tweak = kind.encode()
-    for size, body, check in ((11, 9, snils_check), (10, 9, inn_check), (12, 10, inn_check), (16, 15, luhn_check)):
-        if kind == "id_number" and len(digits) == size and digits[body:] == check(digits[:body]):
+    if kind == "id_number" and len(digits) in _CHECKED:
+        body, check = _CHECKED[len(digits)]
+        if is_checked(digits):
             new = feistel(digits[:body], key, tweak + b"+", inverse=inverse)
             return new + check(new)
-    if kind == "phone" and len(digits) >= 10:
-        # The code of the country and the first digits of the area stay: the number keeps its look.
-        keep = len(digits) - 9
-        return digits[:keep] + feistel(digits[keep:], key, tweak, inverse=inverse)
+        return walk(digits, key, tweak + b"-", lambda d: not is_checked(d), inverse)
     return feistel(digits, key, tweak, inverse=inverse)
 
 
+def permute_lettered(value: str, key: bytes, inverse: bool = False) -> str:
+    """The pseudonym of Latin capitals followed by digits: as many of each."""
+    letters = re.match("[A-Z]*", value).group()
+    n, m = len(letters), len(value) - len(letters)
+    x = 0
+    for c in letters:
+        x = x * 26 + ord(c) - 65
+    x = permute_index(x * 10**m + int(value[n:] or 0), 26**n * 10**m, key, f"id_number{n}".encode(), inverse)
+    x, rest = divmod(x, 10**m)
+    out = ""
+    for _ in range(n):
+        x, c = divmod(x, 26)
+        out = chr(65 + c) + out
+    return out + (f"{rest:0{m}d}" if m else "")
+
+
+def _is_nanp(d: str) -> bool:
+    return len(d) == 10 and d[0] in "23456789" and d[3] in "23456789"
+
+
+def permute_phone(digits: str, key: bytes, inverse: bool = False) -> str:
+    """The pseudonym of the digits of a phone number with its country code. All digits of a number
+    of the countries +7 and +1 change but that code, of other countries all."""
+    if len(digits) == 11 and digits[0] == "7":
+        return "7" + feistel(digits[1:], key, b"phone7", inverse=inverse)
+    if digits[:1] == "1" and _is_nanp(digits[1:]):
+        return "1" + walk(digits[1:], key, b"phone1", _is_nanp, inverse)
+    other = lambda d: d[0] != "0" and not (len(d) == 11 and d[0] == "7") and not (d[0] == "1" and _is_nanp(d[1:]))
+    if not digits or digits[0] == "0":
+        return walk(digits, key, b"phone0", lambda d: d[:1] in ("", "0"), inverse)
+    return walk(digits, key, b"phone", other, inverse)
+
+
 def permute_date(day: datetime.date, key: bytes, first: datetime.date, last: datetime.date, inverse: bool = False) -> datetime.date:
     """A date between ``first`` and ``last`` for each date there (cycle walking); others stay."""
     span = (last - first).days + 1
     x = (day - first).days
-    if not 0 <= x < span:
-        return day
-    width = len(str(span - 1))
-    while True:
-        x = int(feistel(f"{x:0{width}d}", key, b"date", inverse=inverse))
-        if x < span:
-            return first + datetime.timedelta(days=x)
+    return first + datetime.timedelta(days=permute_index(x, span, key, b"date", inverse)) if 0 <= x < span else day
+
+
+def _digits(value: str) -> str:
+    return "".join(c for c in value if "0" <= c <= "9" or c.isdecimal())
 
 
 # --- Detection --------------------------------------------------------------------------------
@@ -111,11 +168,12 @@ def permute_date(day: datetime.date, key: bytes, first: datetime.date, last: dat
 _FILES = {"png", "jpg", "jpeg", "gif", "svg", "webp", "bmp", "pdf", "js", "css", "html", "php", "txt", "csv", "zip", "ico"}
 _AT = r"(?:\s?@\s?|\s?[\(\[]\s?(?:at|собака|эт)\s?[\)\]]\s?|\s(?:собака)\s)"
 _DOT = r"(?:\.|\s?[\(\[]\s?(?:dot|точка)\s?[\)\]]\s?|\s(?:точка)\s)"
-_EMAIL = re.compile(rf"(?i)(?<![\w.+-])[a-z0-9_%][a-z0-9._%+-]*{_AT}([a-z0-9-]+(?:{_DOT}[a-z0-9-]+)*{_DOT}([a-z]{{2,24}}))(?![\w@])")
+_EMAIL = re.compile(rf"(?i)(?<![\w.+%-])[a-z0-9_%][a-z0-9._%+-]*{_AT}([a-z0-9-]{{1,63}}(?:{_DOT}[a-z0-9-]{{1,63}}){{0,8}}?{_DOT}([a-z]{{2,24}}))(?![\w@])")
 
 _NO = r"(?:\s*(?:№|no\.?|number|номер|n)\s*)?"
+_BARE_SNILS = re.compile(r"(?<![\w-])\d{3}-\d{3}-\d{3}[ -]\d{2}(?![\w-])")
 _IDS = [
-    re.compile(r"(?<![\w-])\d{3}-\d{3}-\d{3}[ -]\d{2}(?![\w-])"),
+    _BARE_SNILS,
     re.compile(rf"(?i)\bснилс\w*\W{{0,3}}{_NO}(\d{{3}}[ -]?\d{{3}}[ -]?\d{{3}}[ -]?\d{{2}})(?!\w)"),
     re.compile(rf"(?i)\bинн\W{{0,3}}{_NO}(\d{{12}}|\d{{10}})(?!\w)"),
     re.compile(rf"(?i)\bполис\w*(?:\s+омс)?\W{{0,3}}{_NO}(\d{{4}} ?\d{{4}} ?\d{{4}} ?\d{{4}})(?!\w)"),
@@ -231,7 +289,7 @@ _EN_NAME = re.compile(
 # Cheap searches that decide whether the costly ones can find anything.
 _LONG_NUMBER = re.compile(r"\d[\d ()\-.\xa0]{7,}\d")
 _HOUSE_CUE = re.compile(r"[а-яё]\.?\s?,?\s{0,2}(?:д(?:ом)?\.?\s?)?(?:№\s?)?\d{1,3}(?!\d)")
-_EN_STREET_CUE = re.compile(rf"\d[a-z]?,?\s+[a-z][^\n]*\b{_EN_STREET}\b")
+_EN_STREET_CUE = re.compile(rf"[a-z'-]\s{_EN_STREET}\b")
 _DE_STREET_CUE = re.compile(r"(?:stra(?:ß|ss)e|str\.|weg|platz|allee|gasse)\s\d")
 _EN_CUE = re.compile(r"my name is|yours|sincerely|regards|signed|\bm(?:r|rs|s)\b|\bdr\b")
 _EN_PAIR = re.compile(r"\b([A-Z][a-z]+)\s(?:[A-Z]\.\s?)?([A-Z][a-z]{2,})\b")
@@ -297,11 +355,13 @@ def _names_en(text: str, low: str) -> Iterator[tuple[int, int]]:
             yield m.span()
 
 
-def find_personal(text: str | None) -> list[tuple[int, int, str]]:
+def find_personal(text: str | None, dates: bool = False) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every datum, in the order of the text; none overlap.
 
     Null and empty texts have none. Where two readings overlap, the kind named first in
-    ``KINDS`` stands, then the earlier and longer one.
+    ``KINDS`` stands, then the earlier and longer one. With ``dates`` dates of birth are found too
+    (kind ``date``). An insurance number without a word that says so must have right check digits;
+    where one says so, a number mistyped is personal as well.
     """
     if not text:
         return []
@@ -311,7 +371,7 @@ def find_personal(text: str | None) -> list[tuple[int, int, str]]:
         found += [(0, *m.span()) for m in _EMAIL.finditer(text) if m.group(2).lower() not in _FILES]
     if _ID_CUE.search(text):
         for p in _IDS:
-            found += [(1, *(m.span(1) if p.groups else m.span())) for m in p.finditer(text)]
+            found += [(1, *(m.span(1) if p.groups else m.span())) for m in p.finditer(text) if p is not _BARE_SNILS or is_checked(_digits(m.group()))]
     if _LONG_NUMBER.search(text):
         for p in _PHONES:
             for m in p.finditer(text):
@@ -332,20 +392,149 @@ def find_personal(text: str | None) -> list[tuple[int, int, str]]:
     found += [(4, *s) for s in _names_ru(text, low)]
     if _INITIAL_CUE.search(text):
         found += [(4, *s) for s in _names_initials(text)]
-    taken: list[tuple[int, int, int]] = []
+    if dates and _BIRTH_CUE.search(low):
+        found += [(5, *m.span("day" if m.group("day") else "before")) for m in _BIRTH.finditer(text) if birth_date(m.group("day") or m.group("before"))]
+    taken: list[tuple[int, int, int]] = []  # in the order of the text
     for k, a, b in sorted(found, key=lambda x: (x[0], x[1], -x[2])):
-        if all(b <= c or a >= d for c, d, _ in taken):
-            taken.append((a, b, k))
-    return [(a, b, KINDS[k]) for a, b, k in sorted(taken)]
+        at = bisect.bisect(taken, (a, b, k))
+        if (at == 0 or taken[at - 1][1] <= a) and (at == len(taken) or b <= taken[at][0]):
+            taken.insert(at, (a, b, k))
+    return [(a, b, (*KINDS, "date")[k]) for a, b, k in taken]
+
+
+# Months in the genitive, by the first letters that tell them apart.
+_MONTHS = ("янв", "фев", "мар", "апр", "мая", "июн", "июл", "авг", "сен", "окт", "ноя", "дек")
+_DAY = r"\d{1,2}[./]\d{1,2}[./]\d{4}|\d{4}-\d{2}-\d{2}|\d{1,2}\s(?:янв|фев|мар|апр|мая|июн|июл|авг|сен|окт|ноя|дек)[а-я]{0,5}\s\d{4}"
+_BIRTH_CUE = re.compile(r"рожд|родил|д\.\s?р\.|г\.\s?р\.|\bborn\b|birth|\bdob\b|\bgeb(?:\.|oren)")
+_BIRTH = re.compile(
+    rf"(?i)(?:рожд\w{{0,8}}|родил\w{{0,4}}|д\.\s?р\.|\bborn(?:\son)?|birth(?:\s?date)?|\bdob|\bgeb(?:\.|oren)(?:\sam)?)[\s:,–-]{{0,4}}(?P<day>{_DAY})(?!\d)"
+    rf"|(?<![\d.])(?P<before>{_DAY})\s?(?:г\.\s?р\.|г(?:ода|\.)?\sрожд)"
+)
+
+
+def birth_date(text: str) -> datetime.date | None:
+    """The date of 1900 to 2099 that a text writes, day before month; None if there is no such day."""
+    parts = re.split(r"[./\s-]", text)
+    if len(parts[0]) == 4:
+        parts.reverse()
+    month = next((i for i, m in enumerate(_MONTHS, 1) if parts[1].lower().startswith(m)), None) or int(parts[1]) if parts[1].isdigit() or parts[1] else 0
+    try:
+        day = datetime.date(int(parts[2]), int(month), int(parts[0]))
+    except ValueError:
+        return None
+    return day if _FIRST <= day <= _LAST else None
+
+
+_FIRST, _LAST = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
+_CASE_END = re.compile(r"(?:[аеиоуыюяйь]|(?<=[оеыи])м|(?<=[ыио])х|(?<=[ое])го|(?<=[ое])му)+$")
+# Names whose stem changes with the case.
+_STEMS = {"павел": "павл", "лев": "льв"}
+# Words of addresses that are written in several ways, by a pattern for each.
+_ADDRESS_WORDS = [
+    (re.compile(p), w)
+    for p, w in (
+        ("ул|улиц[аеыу]|улицей", "ул"), ("наб|набережн(?:ая|ой|ую)", "наб"), ("алле[яеию]", "аллея"), ("пр-д|проезд[ае]?", "проезд"), ("пер|переул(?:ок|ке|ка)", "пер"),
+        ("пр-т|просп|проспект[ае]?", "проспект"), ("пл|площад[ьи]", "пл"), ("б-р|бульвар[ае]?", "бульвар"), ("ш|шоссе", "ш"), ("д|дом", ""), ("к|корп|корпус", "к"),
+        ("стр|строение", "стр"), ("кв|квартира", "кв"), ("г|город", "г"), ("эт|этаж", "эт"), ("под|подъезд", "под"), ("лит|литера", "лит"), ("оф|офис", "оф"),
+        ("street|st", "st"), ("avenue|ave", "ave"), ("road|rd", "rd"), ("lane|ln", "ln"), ("drive|dr", "dr"), ("court|ct", "ct"), ("square|sq", "sq"),
+        ("boulevard|blvd", "blvd"), ("apartment|apt|flat", "apt"), ("straße|strasse|str", "str"),
+    )
+]
+
+
+def _stem(word: str) -> str:
+    """A Cyrillic word without its case ending; others as they are."""
+    if not "а" <= word[0] <= "я" or len(word) < 3:
+        return word
+    stem = _CASE_END.sub("", word)
+    return _STEMS.get(stem, stem) if len(stem) >= 2 else word
+
+
+def normal_form(value: str, kind: str) -> str:
+    """What the tag of a value without number format is taken of, so that spellings are linked.
+
+    Mail addresses without the words for their marks; names as sorted stems, without case endings
+    (which a man's and a woman's name of one stem share, unless a patronymic tells them apart);
+    addresses with the words for their parts in one form and street names as stems.
+    """
+    low = value.lower().replace("ё", "е")
+    if kind == "email":
+        return re.sub(rf"(?i){_DOT}", ".", re.sub(rf"(?i){_AT}", "@", low))
+    if kind == "name":
+        return " ".join(sorted(_stem(w) for w in re.findall(r"[^\W\d_]+(?:-[^\W\d_]+)*", low)))
+    words = []
+    for w in re.findall(r"[^\W\d_]+(?:-[^\W\d_]+)*|\d+", low):
+        known = next((to for p, to in _ADDRESS_WORDS if p.fullmatch(w)), None)
+        words.append(_stem(w) if known is None else known)
+    return " ".join(w for w in words if w)
+
+
+def _grouped(digits: str, sizes: tuple[int, ...], marks: str) -> str:
+    out, at = "", 0
+    for size, mark in zip(sizes, [*marks, ""]):
+        out += digits[at : at + size] + mark
+        at += size
+    return out
+
+
+def canonical_number(value: str, kind: str) -> str:
+    """A phone number (``+`` and digits, or digits without a known country), an identity number
+    (capitals and digits) or a date (ISO) in one notation."""
+    if kind == "date":
+        return birth_date(value).isoformat()
+    digits = _digits(value)
+    if kind == "id_number":
+        return "".join(c for c in value.upper() if "A" <= c <= "Z") + digits
+    if len(digits) == 11 and digits[0] in "78" and not ("+" in value and digits[0] == "8"):
+        return "+7" + digits[1:]
+    if "+" not in value and _is_nanp(digits):
+        return "+1" + digits
+    return ("+" if "+" in value else "") + digits
+
+
+def permute_value(number: str, kind: str, key: bytes, inverse: bool = False) -> str:
+    """The permuted number or date, both in their one notation."""
+    if kind == "date":
+        return permute_date(datetime.date.fromisoformat(number), key, _FIRST, _LAST, inverse).isoformat()
+    if kind == "phone":
+        return "+" + permute_phone(number[1:], key, inverse) if number.startswith("+") else feistel(number, key, b"phone-", inverse=inverse)
+    return permute_lettered(number, key, inverse) if number[:1].isalpha() else permute_number(number, key, kind, inverse)
+
+
+def pretty(number: str, kind: str) -> str:
+    """A number as people write it."""
+    if kind == "phone" and len(number) == 12 and number[:2] in ("+7", "+1"):
+        return number[:2] + " " + (_grouped(number[2:], (3, 3, 2, 2), " --") if number[1] == "7" else _grouped(number[2:], (3, 3, 4), " -"))
+    if kind == "id_number" and number.isdigit():
+        groups = {11: ((3, 3, 3, 2), "-- "), 16: ((4, 4, 4, 4), "   "), 9: ((3, 2, 4), "--")}.get(len(number))
+        return _grouped(number, *groups) if groups else number
+    return number
+
+
+def keyed_tag(text: str, kind: str, key: bytes) -> str:
+    """128 bits of a text, in hexadecimal, that only the key tells."""
+    return hashlib.blake2b(f"{kind}\x00{text}".encode("utf-8", "surrogatepass"), key=key, digest_size=16).hexdigest()
 
 
 def pseudonym(value: str, kind: str, key: bytes) -> str:
-    """The typed placeholder of a datum; equal values (but for case and spacing) get equal ones."""
-    if kind in ("phone", "id_number"):
-        new = iter(permute_number("".join(c for c in value if c.isdigit()), key, kind))
-        return f"[{kind} {''.join(next(new) if c.isdigit() else c for c in value)}]"
-    plain = " ".join(re.findall(r"\w+", value.lower().replace("ё", "е")))
-    return f"[{kind} {hashlib.blake2b(plain.encode(), key=key, digest_size=5).hexdigest()}]"
+    """The typed placeholder of a datum; equal values, however written, get equal ones."""
+    if kind in ("phone", "id_number", "date"):
+        return f"[{kind} {pretty(permute_value(canonical_number(value, kind), kind, key), kind)}]"
+    return f"[{kind} {keyed_tag(normal_form(value, kind), kind, key)}]"
+
+
+_PLACEHOLDER = re.compile(r"\[(phone|id_number|date) ([+0-9A-Z -]+)\]")
+
+
+def restore(text: str, key: bytes) -> str:
+    """The numbers and dates of a redacted text, in their one notation; tags stay."""
+
+    def back(m: re.Match) -> str:
+        kind, number = m.groups()
+        number = number if kind == "date" else re.sub(r"[ -]", "", number)
+        return pretty(permute_value(number, kind, key, inverse=True), kind)
+
+    return _PLACEHOLDER.sub(back, text)
 
 
 def redact(text: str | None, key: bytes) -> str | None:
@@ -353,7 +542,7 @@ def redact(text: str | None, key: bytes) -> str | None:
     if not text:
         return text
     out, at = [], 0
-    for a, b, kind in find_personal(text):
+    for a, b, kind in find_personal(text, dates=True):
         out += [text[at:a], pseudonym(text[a:b], kind, key)]
         at = b
     return "".join(out) + text[at:]
@@ -386,7 +575,13 @@ def personal_occurrences(df: DataFrame, *, id_col: str, text_col: str = "text")
 
 
 def redact_texts(df: DataFrame, *, key: bytes, id_col: str, text_col: str = "text") -> DataFrame:
-    """``rec_id`` and the redacted ``text`` of every row; null and empty texts stay as they are."""
+    """``rec_id`` and the redacted ``text`` of every row; null and empty texts stay as they are.
+
+    ``key``: 1 to 64 bytes, else a ValueError. Repeated rows each have theirs; an empty table gives
+    an empty table; other columns don't matter.
+    """
+    if not 1 <= len(key) <= 64:
+        raise ValueError("the key must have 1 to 64 bytes")
     source = df.select(F.col(f"`{id_col}`").cast("long").alias("rec_id"), F.col(f"`{text_col}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
