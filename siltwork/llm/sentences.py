@@ -10,7 +10,7 @@ decides texts in lower case. The model then classifies every candidate of every
 
 from __future__ import annotations
 
-import math
+import bisect
 import re
 import zlib
 from collections import Counter
@@ -32,6 +32,7 @@ _BRACKETS = set(")）]】")
 _LIST_NUMBER = re.compile(r"\s*(?:\(?\d{1,3}|[^\W\d_])[.)]$")
 _THAI = re.compile(r"[฀-๿]")
 _SPACES = re.compile(r"\s+")
+_RUN = re.compile(r"\S+")
 _BITS = 16
 
 
@@ -59,32 +60,42 @@ class Candidate:
     spaced: bool
 
 
-def _pairs(line: str) -> list[tuple[int, int]]:
-    """Outermost quoted and bracketed spans of a line; what is never closed is no span."""
-    stack: list[tuple[str, int]] = []
-    spans = []
-    for i, c in enumerate(line):
-        if c in "“”„«»‹›()（）[]「」『』【】《》〈〉\"":
-            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == c), None)
-            if at is not None:
-                spans.append((stack[at][1], i))
-                del stack[at:]
-            elif c == '"':
-                stack.append(('"', i))
-            elif c in _CLOSE:
-                stack.append((_CLOSE[c], i))
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if not out or a > out[-1][1]:
-            out.append((a, b))
-    return out
-
-
-def _word_before(line: str, at: int) -> tuple[int, str]:
-    """The run without white space that ends at ``at``, without opening marks; its start."""
-    i = at
-    while i > 0 and not line[i - 1].isspace() and at - i < 40:
-        i -= 1
+_QUOTES = re.compile("[“”„«»‹›()（）[\\]「」『』【】《》〈〉\"]")
+
+
+def _pairs(line: str) -> tuple[list[int], list[int]]:
+    """Begins and ends of the outermost quoted and bracketed spans of a line; what is never closed
+    is no span."""
+    stack: list[tuple[str, int]] = []  # closing mark that is waited for, place of the opening one
+    waiting: Counter = Counter()
+    spans: list[tuple[int, int]] = []
+    for m in _QUOTES.finditer(line):
+        c, i = m.group(), m.start()
+        if waiting[c]:
+            while True:
+                mark, begin = stack.pop()
+                waiting[mark] -= 1
+                if mark == c:
+                    break
+            while spans and spans[-1][0] > begin:
+                spans.pop()
+            spans.append((begin, i))
+        elif c == '"' or c in _CLOSE:
+            mark = _CLOSE.get(c, c)
+            stack.append((mark, i))
+            waiting[mark] += 1
+    return [x for x, _ in spans], [x for _, x in spans]
+
+
+#: Of a longer word the features know only as many characters, from its end (before a mark) or its
+#: beginning (after it); so a line without white space is no burden.
+WORD = 40
+
+
+def _word_before(line: str, at: int, start: int) -> tuple[int, str]:
+    """The word that ends at ``at`` in a run without white space from ``start`` on, without opening
+    marks; its start."""
+    i = max(start, at - WORD)
     if at and _script(line[at - 1]) == "H":
         i = max(i, at - 2)
     return i, line[i:at].lstrip("«“„(\"'¿¡（「『[")
@@ -92,21 +103,23 @@ def _word_before(line: str, at: int) -> tuple[int, str]:
 
 def candidates(line: str) -> list[Candidate]:
     """Places within a line (its end apart) where a sentence may end."""
-    out = []
-    pairs = None
+    out: list[Candidate] = []
+    n, full = len(line), len(line.rstrip())
+    lead = n - len(line.lstrip())
+    pairs: tuple[list[int], list[int]] | None = None
+    runs: list[int] = []  # where runs without white space begin and end, in turn
     for m in _MARKS.finditer(line):
         a, e = m.span()
-        n = len(line)
         closer = ""
         if pairs is None:
             pairs = _pairs(line)
-        inside = next((p for p in pairs if p[0] < a < p[1]), None)
-        while e < n and line[e] in _CLOSERS and (inside is None or e <= inside[1]):
+            runs = [x for r in _RUN.finditer(line) for x in r.span()]
+        at = bisect.bisect_left(pairs[0], a) - 1
+        last = pairs[1][at] if at >= 0 and a < pairs[1][at] else -1
+        while e < n and line[e] in _CLOSERS and (last < 0 or e <= last):
             closer = line[e]
             e += 1
-        if inside is not None and e <= inside[1]:
-            continue
-        if e >= n or not line[e:].strip():
+        if e <= last or e >= full:
             continue
         mark = m.group()
         spaced = line[e].isspace()
@@ -116,14 +129,19 @@ def candidates(line: str) -> list[Candidate]:
                 starts = line[e].isupper() or line[e] in "«“„¿¡("
                 if not (starts and (lower_before or mark[-1] in "!?…؟।")) and not (mark[-1] in "!?؟।" and line[e].isalpha()):
                     continue
-        begin, before = _word_before(line, a)
-        if _LIST_NUMBER.fullmatch(line[:e]):
+        if e - lead <= 5 and _LIST_NUMBER.fullmatch(line[lead:e]):
             continue
-        earlier = _word_before(line, len(line[:begin].rstrip()))[1]
+        run = bisect.bisect_left(runs, a)  # odd: within the run that begins at runs[run - 1], or at its end
+        begin, before = _word_before(line, a, runs[run - 1]) if run % 2 else (a, "")
+        if run % 2 and begin > runs[run - 1]:
+            earlier = _word_before(line, begin, runs[run - 1])[1]
+        else:
+            prev = run - 1 if run % 2 else run
+            earlier = _word_before(line, runs[prev - 1], runs[prev - 2])[1] if prev else ""
         k = e
-        while k < n and line[k].isspace():
-            k += 1
-        rest = line[k : k + 40]
+        if spaced:
+            k = runs[bisect.bisect_left(runs, e + 1)]
+        rest = line[k : k + WORD]
         word = rest[:2] if _script(rest[:1] or " ") == "H" else _SPACES.split(rest, maxsplit=1)[0]
         out.append(Candidate(mark, e, before, earlier, word, closer, spaced))
     return out
@@ -149,8 +167,8 @@ def _plain(word: str) -> str:
     return "#" if word[:1].isdigit() or word[-1:].isdigit() else word
 
 
-def features(c: Candidate, cased: bool) -> list[int]:
-    """Hashed features; without ``cased`` nothing tells capitals from small letters."""
+def feature_names(c: Candidate, cased: bool) -> list[str]:
+    """Features; without ``cased`` nothing tells capitals from small letters."""
     before, earlier, after = _plain(c.before), _plain(c.earlier), _plain(c.after)
     mark = "…" if c.mark in ("...", "…", "……", "..") else c.mark[-1]
     first = _first(c.after)
@@ -159,12 +177,20 @@ def features(c: Candidate, cased: bool) -> list[int]:
     near = (c.before[-1:] or " ", c.after[:1] or " ")
     single = len(before) == 1 and before.isalpha()
     shape = "I" if single and (not cased or c.before[-1:].isupper()) else "i" if single else str(min(6, len(before)))
-    names = [
+    return [
         "b", f"m{mark}", f"p{mark}{before}", f"q{mark}{earlier} {before}", f"n{mark}{after}", f"f{mark}{first}",
         f"l{mark}{shape}", f"o{mark}{'.' in before}", f"c{mark}{c.closer}", f"cf{c.closer}{first}", f"s{mark}{_script(near[0])}{_script(near[1])}",
         f"w{mark}{c.spaced}{first}", f"pf{mark}{before}{first}", f"sf{mark}{shape}{first}", f"#{mark}{before == '#'}{after}", f"k{len(c.mark)}{mark}{first}",
     ]
-    return [zlib.crc32(x.encode()) & ((1 << _BITS) - 1) for x in names]
+
+
+def _code(name: str) -> int:
+    return zlib.crc32(name.encode()) & ((1 << _BITS) - 1)
+
+
+def features(c: Candidate, cased: bool) -> list[int]:
+    """Hashed features."""
+    return [_code(x) for x in feature_names(c, cased)]
 
 
 _START = re.compile(r"(?:^\s*(?:\(?\d{1,3}[.)]\s*)?(?:[^\W\d_][\w-]{1,20}:\s+)?|[!?]\s+)[«“„¿¡(\"]*([^\W\d_])")
@@ -266,6 +292,8 @@ class Model:
 
     def __init__(self) -> None:
         self.weights = np.zeros(1 << _BITS)
+        #: Weights by name, as they are asked for.
+        self.known: dict[str, float] = {}
 
     def fit(self, rows: list[list[int]], labels: list[int], rounds: int = 150, rate: float = 0.5, decay: float = 1e-6) -> Model:
         """Full-batch gradient steps with a rate for each weight; equal rows count by number."""
@@ -284,8 +312,17 @@ class Model:
             self.weights -= rate * g / np.sqrt(seen)
         return self
 
-    def is_boundary(self, row: list[int]) -> bool:
-        return math.fsum(self.weights[row].tolist()) > 0
+    def is_boundary(self, names: list[str]) -> bool:
+        """Whether the features speak for a boundary."""
+        known, total = self.known, 0.0
+        for x in names:
+            w = known.get(x)
+            if w is None:
+                if len(known) > 200_000:
+                    known.clear()
+                w = known[x] = float(self.weights[_code(x)])
+            total += w
+        return total > 0
 
 
 def training_rows(texts: list[str], stats: Statistics) -> tuple[list[list[int]], list[int]]:
@@ -326,7 +363,7 @@ def split_sentences(text: str | None, model: Model) -> list[tuple[int, int]]:
         end = m.start() if m else len(text)
         line = text[begin:end]
         if line.strip():
-            cuts = {c.end for c in candidates(line) if model.is_boundary(features(c, not lower))}
+            cuts = {c.end for c in candidates(line) if model.is_boundary(feature_names(c, not lower))}
             if _THAI.search(line):
                 for s in _SPACES.finditer(line):
                     left, right = line[s.start() - 1 : s.start()], line[s.end() : s.end() + 1]
@@ -383,14 +420,16 @@ def fit_model(texts: DataFrame, *, sample_rows: int = 4000, sample_chars: int =
     return Model().fit(*training_rows(chosen, corpus_statistics(texts, sample_words(chosen))))
 
 
-def sentences(df: DataFrame, *, id_col: str, text_col: str = "text", sample_rows: int = 4000) -> DataFrame:
+def sentences(df: DataFrame, *, id_col: str, text_col: str = "text", sample_rows: int = 4000, sample_chars: int = 20_000) -> DataFrame:
     """``id_col``, ``start_pos``, ``end_pos``: a row for each sentence of each text.
 
+    The classifier is trained on at most ``sample_rows`` texts of at most ``sample_chars`` characters.
+
     Null, empty and blank texts have no row; repeated rows each have theirs; null ids are passed
     on; an empty table gives an empty table; other columns don't matter.
     """
     source = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t")).where("t IS NOT NULL AND t <> ''")
-    model = fit_model(source, sample_rows=sample_rows)
+    model = fit_model(source, sample_rows=sample_rows, sample_chars=sample_chars)
     shared = df.sparkSession.sparkContext.broadcast(model)
     kind = source.schema["id"].dataType.simpleString()
 
