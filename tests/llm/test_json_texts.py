@@ -2,7 +2,10 @@ from __future__ import annotations
 
 import json
 
-from siltwork.llm.formatting_duplicates import canonical_json, collapse_duplicates, duplicate_members
+from pyspark.sql import functions as F
+
+from siltwork.llm import formatting_duplicates
+from siltwork.llm.formatting_duplicates import canonical_json, collapse_duplicates, duplicate_members, merkle_json
 
 
 def groups(spark, texts):
@@ -43,3 +46,17 @@ def test_canonical_json_takes_whole_objects_only():
         assert canonical_json(bad, same) is None
     deep = '{"a":' * 50_000 + "1" + "}" * 50_000
     assert canonical_json(deep, same).count("fields") == 50_000
+
+
+def test_every_node_is_hashed_from_its_children():
+    leaf = formatting_duplicates._hash
+    field = lambda name, value: leaf(leaf(name) + value)
+    root = lambda *children: leaf("fields\x1f" + "".join(sorted(children)))
+    digest, _ = merkle_json('{"a": {"c": 1, "b": "x"}, "d": [2, null]}', str.lower)
+    assert digest == root(field("a", root(field("c", leaf("1")), field("b", leaf("x")))), field("d", leaf("list\x1f" + leaf("2") + leaf("\x00"))))
+
+
+def test_structures_that_share_a_digest_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(formatting_duplicates, "digest", lambda c: F.unhex(F.substring(F.md5(c), 1, 2)))
+    texts = [f"слово {i // 2}" if i % 2 else f"СЛОВО, {i // 2}!" for i in range(600)]
+    assert groups(spark, texts) == {(i, i + 1) for i in range(0, 600, 2)}
