@@ -4,11 +4,15 @@ Adjacency is kept hash-partitioned by node. Nodes that come first among their ne
 hash order, are seeds; every component has at least one. All seeds expand at once, a frontier at
 a time, and each node takes the label of the seed that reaches it. Where two seeds meet, their
 labels collide: the collisions are the edges of a much smaller graph, on which the search runs
-again. A component's name is its least node hash, and components go to splits in hash order.
+again, or which one task solves once it is proven small. A component's name is its least node
+hash, and components go to splits in hash order.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,51 +38,76 @@ def _hash(c: Column) -> Column:
     return F.concat(F.hex(F.xxhash64(c)), F.lit(":"), c)
 
 
-def components(edges: DataFrame, max_hops: int = 1000) -> DataFrame:
+def components(edges: DataFrame, *, small: int = 200_000) -> DataFrame:
     """``node``, ``component`` for every end of the undirected ``edges`` (``a``, ``b`` strings).
 
     The component's name is a digest of its first node in hash order. Edges with a null end are no edges;
-    loops and repeated edges change nothing; an empty table gives an empty table.
+    loops and repeated edges change nothing; an empty table gives an empty table. The search goes on
+    until no node is left. A graph of collided labels with at most ``small`` edges is solved in
+    one task; frontiers up to ``small`` nodes are broadcast.
     """
     named = edges.where("a IS NOT NULL AND b IS NOT NULL").select(_hash(F.col("a")).alias("a"), _hash(F.col("b")).alias("b"))
-    labels = _labelled(named, 0, max_hops)
+    labels = _labelled(named, 0, small)
     return labels.select(
         F.expr("substring(node, length(substring_index(node, ':', 1)) + 2)").alias("node"), F.md5("label").alias("component")
     )
 
 
-def _labelled(edges: DataFrame, level: int, max_hops: int) -> DataFrame:
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``node``, ``label`` (the least node of its component) of all edges of one task."""
+    root: dict[str, str] = {}
+
+    def find(x: str) -> str:
+        top = x
+        while root.setdefault(top, top) != top:
+            top = root[top]
+        while root[x] != top:
+            root[x], x = top, root[x]
+        return top
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    nodes = list(root)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.string()), pa.array([find(x) for x in nodes], pa.string())], names=["node", "label"])
+
+
+def _labelled(edges: DataFrame, level: int, small: int) -> DataFrame:
     """``node``, ``label``: the least node of its component."""
     if level > _MAX_LEVELS:
         raise RuntimeError("components: the graph of labels doesn't shrink")
+    if level and edges.limit(small + 1).count() <= small:
+        return checkpointed(edges.select("a", "b").coalesce(1).mapInArrow(_united, "node string, label string"))
     both = checkpointed(edges.union(edges.select("b", "a")).distinct())
     # Seeds: nodes without a smaller neighbour (nodes with loops only are seeds as well).
     least = both.groupBy("a").agg(F.min("b").alias("b"))
     labelled = checkpointed(least.where("a <= b").select(F.col("a").alias("node"), F.col("a").alias("label")))
-    out, frontier, reached = labelled, labelled, labelled.count()
-    hops = 0
+    out, frontier, hops = labelled, labelled, 0
     links = both.where("a <> b")
-    while reached and hops < max_hops:
+    while True:
         # A hot node's edges spread over tasks: the frontier is broadcast where it is small, and
         # skewed partitions of the shuffled join are split at run time where it is not.
-        met = links.join(bounded_broadcast(frontier.select(F.col("node").alias("a"), "label"), 20_000), "a")
-        fresh = met.groupBy(F.col("b").alias("node")).agg(F.min("label").alias("label"))
-        frontier = checkpointed(fresh.join(out.select("node"), "node", "left_anti"))
-        reached = frontier.count()
-        if reached:
-            out = out.unionByName(frontier)
-        hops += 1
-    if hops > 8:
-        out = checkpointed(out)
-    ends = links.where("a < b").join(out.select(F.col("node").alias("a"), F.col("label").alias("la")), "a")
-    ends = ends.join(out.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
+        met = links.join(bounded_broadcast(frontier.select(F.col("node").alias("a"), "label"), small), "a")
+        fresh = checkpointed(met.groupBy(F.col("b").alias("node")).agg(F.min("label").alias("label")))
+        # Only what was reached just now is looked up among the nodes reached before.
+        known = out.join(bounded_broadcast(fresh.select("node"), small), "node", "left_semi").select("node")
+        frontier = checkpointed(fresh.join(bounded_broadcast(checkpointed(known), small), "node", "left_anti"))
+        if frontier.isEmpty():
+            break
+        out, hops = out.unionByName(frontier), hops + 1
+        if hops % 8 == 0:
+            out = checkpointed(out)
+    named = bounded_broadcast(out, small)
+    ends = links.where("a < b").join(named.select(F.col("node").alias("a"), F.col("label").alias("la")), "a")
+    ends = ends.join(named.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
     collisions = checkpointed(
         ends.where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
     )
     if collisions.isEmpty():
         return out
-    merged = _labelled(collisions, level + 1, max_hops).select(F.col("node").alias("label"), F.col("label").alias("root"))
-    return out.join(merged, "label", "left").select("node", F.coalesce("root", "label").alias("label"))
+    merged = _labelled(collisions, level + 1, small).select(F.col("node").alias("label"), F.col("label").alias("root"))
+    return out.join(bounded_broadcast(merged, small), "label", "left").select("node", F.coalesce("root", "label").alias("label"))
 
 
 def relations(
@@ -105,19 +134,30 @@ def relations(
     return shared.union(used).distinct(), borne, home.select("key", group("home").alias("node"))
 
 
-def related_users(records: DataFrame, augmented: DataFrame) -> DataFrame:
-    """``user_a`` < ``user_b``: users whose records have to land in one split.
+def user_groups(records: DataFrame, augmented: DataFrame) -> DataFrame:
+    """``user``, ``component``: users that some augmented text ties, with their group.
 
     Users are compared trimmed and lower-cased; null and empty ones tie nothing. An augmentation
     row without variants, a failed one and a repeated one are taken by the texts they have.
     Empty tables give an empty table.
     """
     edges, _, _ = relations(records, augmented)
-    users = components(edges).where("node LIKE 'u%'").select(F.expr("substring(node, 2)").alias("user"), "component")
-    users = checkpointed(users)
-    a = users.select(F.col("user").alias("user_a"), "component")
-    b = users.select(F.col("user").alias("user_b"), "component")
-    return a.join(b, "component").where("user_a < user_b").select("user_a", "user_b")
+    return components(edges).where("node LIKE 'u%'").select(F.expr("substring(node, 2)").alias("user"), "component")
+
+
+def related_users(records: DataFrame, augmented: DataFrame, *, part: int = 1000) -> DataFrame:
+    """``user_a`` < ``user_b``: users whose records have to land in one split, as pairs. The rows are
+    as many as the pairs of every group; ``user_groups`` has one row a user.
+
+    A group of more than ``part`` users is split among tasks: each takes ``part`` of its users
+    against all. The cases are those of ``user_groups``.
+    """
+    users = checkpointed(user_groups(records, augmented))
+    sizes = users.groupBy("component").agg(F.ceil(F.count("*") / part).cast("int").alias("parts")).where("parts > 1")
+    users = checkpointed(users.join(bounded_broadcast(sizes), "component", "left").withColumn("parts", F.coalesce("parts", F.lit(1))))
+    a = users.select("component", F.col("user").alias("user_a"), F.pmod(F.xxhash64("user"), F.col("parts").cast("long")).alias("part"))
+    b = users.select("component", F.col("user").alias("user_b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"))
+    return a.join(b, ["component", "part"]).where("user_a < user_b").select("user_a", "user_b")
 
 
 def grouped_split(
@@ -180,6 +220,7 @@ def grouped_split(
     for bound, k in reversed(bounds[:-1]):
         light = F.when(unit < bound, k).otherwise(light)
     if placed:
-        given = F.create_map(*[F.lit(x) for pair in placed.items() for x in pair])[F.col("group")]
-        light = F.coalesce(given, light)
+        given = rec.sparkSession.createDataFrame(list(placed.items()), "group string, placed string")  # at most heavy_share rows
+        rec = rec.join(F.broadcast(given), "group", "left")
+        light = F.coalesce("placed", light)
     return rec.select(F.col("id").alias(id_col), "group", light.alias("split"))

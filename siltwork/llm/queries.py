@@ -12,11 +12,11 @@ from siltwork.llm.capping import cap_contributors, valid_score
 from siltwork.llm.consensus import annotation_votes, consensus
 from siltwork.llm.encoding import encode_corpus
 from siltwork.llm.formatting_duplicates import collapse_duplicates, duplicate_members
-from siltwork.llm.grouped_splits import grouped_split, related_users
+from siltwork.llm.grouped_splits import grouped_split, related_users, user_groups
 from siltwork.llm.leakage import find_leaks
 from siltwork.llm.personal_data import personal_occurrences, redact_texts
 from siltwork.llm.sentences import sentences
-from siltwork.session import table
+from siltwork.session import checkpointed, table
 
 
 def _consensus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -87,6 +87,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return related_users(records, table(spark, sf_dir, "augmentation_result"))
 
 
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users that augmented texts tie: first user and size of the group of each."""
+    records = table(spark, sf_dir, "processed_record").select("row_id", "user_id", "text")
+    users = checkpointed(user_groups(records, table(spark, sf_dir, "augmentation_result")))
+    groups = users.groupBy("component").agg(F.min("user").alias("first_user"), F.count("*").alias("n_users"))
+    return users.join(groups, "component").select(F.col("user").alias("user_id"), "first_user", "n_users")
+
+
 def p5_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Split of every record: 80 % train, 10 % validation, 10 % test, no group divided."""
     records = table(spark, sf_dir, "processed_record").select("row_id", "user_id", "text")
@@ -138,6 +146,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_copies": p4_copies,
     "p5_found": p5_found,
+    "p5_groups": p5_groups,
     "p5_split": p5_split,
     "p6_found": p6_found,
     "p8_ids": p8_ids,
@@ -167,13 +176,7 @@ _CANON = rf"""
 _GRAMS = """list_transform(range(1, len({u}) - {n} + 2), lambda i: array_to_string({u}[i:i + {n} - 1], ' '))"""
 _WORDS = r"regexp_extract_all(replace(lower(text), 'ё', 'е'), '[\p{L}\p{N}]+')"
 
-SQL: dict[str, str] = {
-    "p4_found": f"""
-        WITH {_CANON}, firsts AS (SELECT row_id, min(row_id) OVER (PARTITION BY c) AS first_row_id FROM canon)
-        SELECT first_row_id, row_id FROM firsts WHERE row_id <> first_row_id""",
-    "p4_copies": f"WITH {_CANON} SELECT min(row_id) AS first_row_id, count(*) AS copies FROM canon GROUP BY c",
-    "p5_found": r"""
-        WITH RECURSIVE norm AS (
+_TIES = r"""WITH RECURSIVE norm AS (
             SELECT nullif(lower(regexp_replace(user_id, '^[\s\x{a0}]+|[\s\x{a0}]+$', '', 'g')), '') AS u,
                 lower(trim(regexp_replace(text, '[\s\x{a0}\x{2000}-\x{200a}\x{202f}\x{3000}]+', ' ', 'g'))) AS t
             FROM processed_record WHERE text IS NOT NULL),
@@ -187,8 +190,19 @@ SQL: dict[str, str] = {
             SELECT h AS a, 'g' || aug_id AS b FROM borne JOIN home USING (t)
             UNION SELECT 'u' || u, h FROM norm JOIN home USING (t) WHERE u IS NOT NULL),
         link AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-        reach AS (SELECT a AS s, a AS n FROM link WHERE a LIKE 'u%' UNION SELECT s, b FROM reach JOIN link ON a = n)
+        reach AS (SELECT a AS s, a AS n FROM link WHERE a LIKE 'u%' UNION SELECT s, b FROM reach JOIN link ON a = n)"""
+
+SQL: dict[str, str] = {
+    "p4_found": f"""
+        WITH {_CANON}, firsts AS (SELECT row_id, min(row_id) OVER (PARTITION BY c) AS first_row_id FROM canon)
+        SELECT first_row_id, row_id FROM firsts WHERE row_id <> first_row_id""",
+    "p4_copies": f"WITH {_CANON} SELECT min(row_id) AS first_row_id, count(*) AS copies FROM canon GROUP BY c",
+    "p5_found": f"""
+        {_TIES}
         SELECT DISTINCT substr(s, 2) AS user_a, substr(n, 2) AS user_b FROM reach WHERE n LIKE 'u%' AND substr(s, 2) < substr(n, 2)""",
+    "p5_groups": f"""
+        {_TIES}
+        SELECT substr(s, 2) AS user_id, min(substr(n, 2)) AS first_user, count(*) AS n_users FROM reach WHERE n LIKE 'u%' GROUP BY s""",
     "p6_found": f"""
         WITH x AS (SELECT result_id, CASE WHEN {_LABEL} IN {DOMAINS} THEN {_LABEL} ELSE 'oos' END AS d,
                 CASE WHEN confidence BETWEEN 0 AND 1 AND NOT isnan(confidence) THEN confidence END AS s FROM classification_result),

@@ -16,7 +16,7 @@ from siltwork.llm.capping import cap_contributors, valid_score
 from siltwork.llm.consensus import Communities, annotation_votes, consensus, digamma
 from siltwork.llm.encoding import DEFAULT_VOCABULARY, Encoder, RankQueue, encode_corpus, load_vocabulary
 from siltwork.llm.formatting_duplicates import collapse_duplicates, duplicate_members
-from siltwork.llm.grouped_splits import components, grouped_split, related_users
+from siltwork.llm.grouped_splits import components, grouped_split, related_users, user_groups
 from siltwork.llm.leakage import find_leaks, myers_distance, normal_words
 from siltwork.llm.sentences import sentences
 
@@ -175,6 +175,10 @@ def test_components_against_union_find(spark):
         assert set(out) == set(root)
         for a, b in itertools.combinations(out, 2):
             assert (out[a] == out[b]) == (find(a) == find(b))
+        # The graph of labels searched like the first one, nothing broadcast, nothing solved in one task.
+        again = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges[:60], "a string, b string"), small=0).collect()}
+        part = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges[:60], "a string, b string")).collect()}
+        assert again == part
     assert components(spark.createDataFrame([], "a string, b string")).count() == 0
 
 
@@ -198,6 +202,9 @@ def test_related_users(spark):
     got = {tuple(r) for r in related_users(rec, aug).collect()}
     # u1-u2 by row 1, u2-u4 over a record without user; a text no record bears ties nothing.
     assert got == {("u1", "u2"), ("u1", "u4"), ("u2", "u4")}
+    assert {tuple(r) for r in related_users(rec, aug, part=1).collect()} == got
+    groups = user_groups(rec, aug).collect()
+    assert len(groups) == len({r["user"] for r in groups}) and len({r["component"] for r in groups if r["user"] in ("u1", "u2", "u4")}) == 1
     assert related_users(rec.limit(0), aug).count() == 0 and related_users(rec, aug.limit(0)).count() == 0
 
 
