@@ -60,7 +60,20 @@ _OPINIONS = f"""op AS (
     SELECT review_id, text, {_domain('predicted_domain')} AS predicted, {_domain('coalesce(corrected_domain, predicted_domain)')} AS corrected,
         review_timestamp AS seen FROM review_item WHERE status IN ('approved', 'corrected')),
     counts AS (SELECT predicted, corrected, count(*) AS n, count(*) FILTER (seen >= TIMESTAMP '2024-12-24') AS recent FROM op GROUP BY 1, 2)"""
-_FOLD = "trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g'))"
+# Edit distance in code points, which DuckDB's own function doesn't count: the table of distances by
+# its diagonals, each from the two before it.
+_EDITS = """
+    chars AS (SELECT id, string_split(lower(a), '') AS x, string_split(lower(b), '') AS y FROM pairs),
+    sized AS (SELECT id, list_filter(x, lambda c: c <> '') AS x, list_filter(y, lambda c: c <> '') AS y FROM chars),
+    steps AS (
+        SELECT id, x, y, len(x) AS n, len(y) AS m, 0::BIGINT AS k, [0::BIGINT] || list_transform(range(len(x)), lambda i: 1000000::BIGINT) AS now,
+            list_transform(range(len(x) + 1), lambda i: 1000000::BIGINT) AS old FROM sized
+        UNION ALL
+        SELECT id, x, y, n, m, k + 1, list_transform(range(n + 1), lambda i: CASE
+            WHEN i > k + 1 OR k + 1 - i > m THEN 1000000 WHEN i = 0 OR i = k + 1 THEN k + 1
+            ELSE least(now[i + 1] + 1, now[i] + 1, old[i] + (x[i] <> y[k + 1 - i])::BIGINT) END), now
+        FROM steps WHERE k < n + m),
+    edits AS (SELECT id, now[n + 1] AS d, CASE WHEN greatest(n, m) = 0 THEN 0 ELSE now[n + 1] / greatest(n, m) END AS ratio FROM steps WHERE k = n + m)"""
 _PAIRS = """pairs AS (
     SELECT id, a, b FROM (SELECT aug_id || '-' || (i - 1) AS id, original_text AS a, variants[i] AS b
         FROM (SELECT *, unnest(range(1, len(variants) + 1)) AS i FROM augmentation_result WHERE original_text IS NOT NULL)) WHERE b IS NOT NULL)"""
@@ -147,8 +160,7 @@ SQL: dict[str, str] = {
     "output_rows": "SELECT coalesce(nullif(domain_true, ''), nullif(domain_id, ''), 'unknown') AS label, count(*) AS n FROM classification_result GROUP BY 1",
     "sharded_rows": """SELECT ((rn - 1) // 777 + 1)::INT AS shard, count(*) AS n, min(result_id) AS first, max(result_id) AS last
         FROM (SELECT result_id, row_number() OVER (ORDER BY result_id) AS rn FROM classification_result) GROUP BY 1""",
-    "levenshtein_pairs": f"""WITH {_PAIRS}, f AS (SELECT id, {_FOLD.format('a')} AS a, {_FOLD.format('b')} AS b FROM pairs)
-        SELECT id, levenshtein(a, b)::INT AS distance, round(CASE WHEN greatest(length(a), length(b)) = 0 THEN 0 ELSE levenshtein(a, b) / greatest(length(a), length(b)) END, 6) AS ratio FROM f""",
+    "levenshtein_pairs": f"WITH RECURSIVE {_PAIRS}, {_EDITS} SELECT id, d::INT AS distance, round(ratio, 6) AS ratio FROM edits",
     "term_statistics": f"WITH {_DOC_TF} SELECT term, df, tf FROM vocab",
     "tfidf_norms": f"""WITH {_DOC_TF}, n AS (SELECT count(*) AS n FROM documents WHERE text IS NOT NULL),
         w AS (SELECT id, tf.tf * (ln((1.0 + n) / (1.0 + df)) + 1) AS w FROM tf JOIN vocab USING (term), n)
@@ -157,11 +169,13 @@ SQL: dict[str, str] = {
         corpus AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({_terms('text')})) AS term FROM processed_record WHERE text IS NOT NULL) GROUP BY term),
         {_COSINE.format(p="pairs", a=_terms("a"), b=_terms("b"), none="0")}
         SELECT id, round(cosine, 6) AS cosine FROM cosine""",
-    "quality_gate": f"""WITH {_PAIRS}, f AS (SELECT id, {_FOLD.format('a')} AS a, {_FOLD.format('b')} AS b FROM pairs), size AS (SELECT 0 AS n),
-        corpus AS (SELECT '' AS term, 0 AS df WHERE false), {_COSINE.format(p="f", a=_terms("a"), b=_terms("b"), none="0.5")},
-        q AS (SELECT cosine, levenshtein(a, b) AS d, CASE WHEN greatest(length(a), length(b)) = 0 THEN 0 ELSE levenshtein(a, b) / greatest(length(a), length(b)) END AS ratio FROM f JOIN cosine USING (id)),
+    "quality_gate": f"""WITH RECURSIVE {_PAIRS}, {_EDITS}, size AS (SELECT count(*) AS n FROM augmentation_result WHERE original_text IS NOT NULL),
+        corpus AS (SELECT term, count(*) AS df FROM (
+            SELECT unnest(list_distinct({_terms('original_text')})) AS term FROM augmentation_result WHERE original_text IS NOT NULL) GROUP BY term),
+        {_COSINE.format(p="pairs", a=_terms("a"), b=_terms("b"), none="0")},
         i AS (SELECT array_to_string(list_filter([CASE WHEN cosine > 0.95 THEN 'high similarity' END, CASE WHEN cosine < 0.3 THEN 'low similarity' END,
-            CASE WHEN d < 3 THEN 'few changes' END, CASE WHEN ratio > 0.8 THEN 'many changes' END], lambda x: x IS NOT NULL), ',') AS issues FROM q)
+            CASE WHEN d < 3 THEN 'few changes' END, CASE WHEN ratio > 0.8 THEN 'many changes' END], lambda x: x IS NOT NULL), ',') AS issues
+            FROM edits JOIN cosine USING (id))
         SELECT issues, issues = '' AS is_valid, count(*) AS n FROM i GROUP BY 1, 2""",
     "near_duplicates": f"""WITH cls AS (SELECT text, min(doc_id) AS id FROM documents WHERE text IS NOT NULL GROUP BY text),
         tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({_terms('text')}) AS term FROM cls) GROUP BY 1, 2),
@@ -190,7 +204,7 @@ SQL: dict[str, str] = {
     "context_preferences": """WITH r AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k,
             count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE user_id IS NOT NULL)
         SELECT user_id AS user, event_type AS domain, round(sum(CASE WHEN k = n THEN pow(2.0, 1 - n) ELSE pow(2.0, -k) END), 6) AS weight
-        FROM r WHERE k <= 40 GROUP BY 1, 2""",
+        FROM r GROUP BY 1, 2""",
     "context_statistics": """SELECT count(*) AS users, count(*) FILTER (l > TIMESTAMP '2024-01-29') AS active, sum(n)::BIGINT AS messages
         FROM (SELECT user_id, count(*) AS n, max(ts) AS l FROM events WHERE user_id IS NOT NULL GROUP BY user_id)""",
     "cache_lookup": """WITH c AS (SELECT md5(text || '|v1') AS key, coalesce(domain_id, '') AS result FROM classification_result
@@ -229,4 +243,4 @@ SQL: dict[str, str] = {
 }
 SQL["feedback_prompts"] = SQL["feedback_prompts"].format(SQL["feedback_examples"])
 for _name in ("context_preferred", "context_prompts"):
-    SQL[_name] = SQL[_name].format(SQL["context_preferences"].replace(", 6) AS weight", ", 9) AS weight"))
+    SQL[_name] = SQL[_name].format(SQL["context_preferences"].replace("round(sum(", "(sum(").replace(", 6) AS weight", ") AS weight"))
