@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltwork.config import WriterConfig
@@ -102,3 +103,23 @@ def dataset_score(stats: DataFrame, duplicate_share: Column) -> DataFrame:
         F.when(F.col("avg_length") < 10, "short texts"), F.when(F.col("avg_length") > 500, "long texts"),
     ))
     return stats.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))).withColumn("issues", F.array_join(issues, ","))
+
+
+def augmentation_seeds(df: DataFrame, *, text: str = "text", labels: tuple[str, ...] = ("domain_true", "domain_id"), id_col: str = "row_id", per_domain: int = 30) -> DataFrame:
+    """``id_col``, ``text``, ``domain``, ``turn``: the first rows of each domain to be augmented, in the
+    order of ids. The domain is the first label that isn't empty; rows without label or text and
+    unknown ones are no seeds. Spark cuts each domain before the shuffle; the number is the feature.
+    """
+    label = F.coalesce(*[F.nullif(F.col(f"`{c}`"), F.lit("")) for c in labels])
+    rows = df.select(F.col(f"`{id_col}`"), F.col(f"`{text}`").alias("text"), label.alias("domain")).where("text <> '' AND domain <> 'unknown'")
+    turn = F.row_number().over(W.partitionBy("domain").orderBy(id_col))
+    return rows.withColumn("turn", turn).where(F.col("turn") <= per_domain)
+
+
+def distributions(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """``field``, ``value``, ``n``: rows by value of each of some columns."""
+    out = None
+    for c in columns:
+        part = df.groupBy(F.col(f"`{c}`").cast("string").alias("value")).agg(F.count("*").alias("n")).select(F.lit(c).alias("field"), "value", "n")
+        out = part if out is None else out.unionByName(part)
+    return out

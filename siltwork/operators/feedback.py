@@ -112,3 +112,29 @@ def context_prompts(messages: DataFrame, weights: DataFrame, *, user: str, text:
     recent = last.groupBy(F.col(user).alias("user")).agg(F.sort_array(F.collect_list(F.struct((-F.col("turn")).alias("o"), F.left(F.col(text), F.lit(100)).alias("t")))).alias("m"))
     top = preferred_domains(weights).groupBy("user").agg(F.sort_array(F.collect_list(F.struct("turn", "domain"))).alias("d"))
     return top.join(recent, "user", "left").select("user", F.coalesce(F.array_join(F.col("m.t"), " | "), F.lit("")).alias("recent"), F.array_join(F.col("d.domain"), ",").alias("domains"))
+
+
+def queue_statistics(df: DataFrame, *, status: str = "status", priority: str = "priority", confidence: str = "confidence", statuses: tuple[str, ...] = (), priorities: tuple[str, ...] = ()) -> DataFrame:
+    """``kind``, ``name``, ``n``, ``avg_confidence``: items in all, by status and by priority; names
+    that no item has are given with 0, values beyond the named ones have no row."""
+    n, mean = F.count("*").alias("n"), F.avg(confidence).alias("avg_confidence")
+    out = df.agg(n, mean).select(F.lit("all").alias("kind"), F.lit("").alias("name"), "n", "avg_confidence")
+    for kind, column, names in (("status", status, statuses), ("priority", priority, priorities)):
+        if names:
+            known = df.sparkSession.createDataFrame([(x,) for x in names], "name string")
+            counts = df.groupBy(F.col(column).alias("name")).agg(n, mean)
+            part = known.join(counts, "name", "left").select(F.lit(kind).alias("kind"), "name", F.coalesce("n", F.lit(0)).alias("n"), "avg_confidence")
+            out = out.unionByName(part)
+    return out
+
+
+def priority_of(confidence: Column) -> Column:
+    """critical, high, medium or low by confidence; a missing one is critical."""
+    return F.when(confidence < 0.3, "critical").when(confidence < 0.5, "high").when(confidence < 0.7, "medium").when(confidence >= 0.7, "low").otherwise("critical")
+
+
+def queue_order(df: DataFrame, n: int, *, confidence: str = "confidence", created: str = "created_at", id_col: str = "review_id") -> DataFrame:
+    """The next ``n`` pending items: by priority, confidence, time of creation and id (the number is
+    the feature)."""
+    rank = F.array_position(F.array(*[F.lit(x) for x in ("critical", "high", "medium", "low")]), priority_of(F.col(confidence)))
+    return df.where("status = 'pending'").orderBy(rank, F.asc_nulls_last(confidence), F.asc_nulls_last(created), id_col).limit(n)

@@ -22,6 +22,45 @@ def cache_key(*parts: Column) -> Column:
     return F.md5(F.concat_ws("|", *[F.coalesce(p, F.lit("")) for p in parts]))
 
 
+def label_key(text: Column, labels: tuple[str, ...] = (), context: Column | None = None) -> Column:
+    """What an answer depends on when labels and context are given: text, sorted labels, the first
+    100 characters of the context, joined by bars; empty parts are left out."""
+    parts = [F.coalesce(text, F.lit(""))]
+    if labels:
+        parts.append(F.lit(",".join(sorted(labels))))
+    if context is not None:
+        parts.append(F.nullif(F.left(context, F.lit(100)), F.lit("")))
+    return F.concat_ws("|", *parts)
+
+
+def cache_put(cache: DataFrame, answers: DataFrame) -> DataFrame:
+    """The cache with new answers (``key``, ``result``, ``ts``), one entry a key: the latest stands. A
+    null key is no entry."""
+    columns = ("key", "result", "ts")
+    both = cache.select(*columns).unionByName(answers.select(*columns)).where("key IS NOT NULL")
+    return both.groupBy("key").agg(F.max_by("result", F.struct("ts", "result")).alias("result"), F.max("ts").alias("ts"))
+
+
+def labeler_rates(df: DataFrame, *, confidence: Column, error: Column, low: float = 0.5) -> DataFrame:
+    """One row: results, errors, those of low confidence, and their rates (null for none)."""
+    out = df.agg(F.count("*").alias("total"), F.count_if(error).alias("errors"), F.count_if(confidence < low).alias("low_confidence"))
+    return out.withColumn("error_rate", F.try_divide("errors", "total")).withColumn("low_rate", F.try_divide("low_confidence", "total"))
+
+
+def augmenter_rates(df: DataFrame, *, variants: str = "variants", success: str = "success") -> DataFrame:
+    """One row: seeds, variants made, failures, variants a seed, rate of failures (null for none)."""
+    made = F.greatest(F.size(F.coalesce(F.col(variants), F.array())), F.lit(0))
+    out = df.agg(F.count("*").alias("total"), F.coalesce(F.sum(made), F.lit(0)).alias("generated"), F.count_if(~F.coalesce(F.col(success), F.lit(False))).alias("errors"))
+    return out.withColumn("variants_per_seed", F.try_divide("generated", "total")).withColumn("error_rate", F.try_divide("errors", "total"))
+
+
+def answer_defaults(labels: tuple[Column, ...], scores: tuple[Column, ...]) -> Column:
+    """(label, confidence): the first label that isn't empty, else oos; the first score that is
+    neither missing nor 0, else 0.5."""
+    label = F.coalesce(*[F.nullif(x, F.lit("")) for x in labels], F.lit("oos"))
+    return F.struct(label.alias("label"), F.coalesce(*[F.nullif(x, F.lit(0.0)) for x in scores], F.lit(0.5)).alias("confidence"))
+
+
 def latest_entries(cache: DataFrame, *, as_of: datetime.datetime, hours: int = 24) -> DataFrame:
     """``key``, ``result``: the last answer for each key that isn't older than the time to live."""
     fresh = cache.where(F.col("ts") >= F.lit(as_of - datetime.timedelta(hours=hours)))

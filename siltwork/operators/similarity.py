@@ -79,6 +79,38 @@ def quality_gate(pairs: DataFrame, cosine: DataFrame, *, id_col: str = "id", a:
     return out.withColumn("issues", F.array_compact(F.array(*checks))).withColumn("is_valid", F.size("issues") == 0)
 
 
+def synthetic_gate(gate: DataFrame, *, domain: str = "domain", found: Column | None = None, confidence: Column | None = None, strict: bool = True) -> DataFrame:
+    """Synthetic rows that pass, from the result of ``quality_gate`` with an expected ``domain``.
+
+    ``found``: label of the synthetic text as classified again, with its ``confidence``; without it
+    the expected domain stands with confidence 1. Strict: rows with issues or another label than
+    expected are dropped; else they are kept, under the label found. ``relabelled`` tells where that
+    differs. A null expected domain is unlike any label.
+    """
+    rows = gate.withColumn("expected", F.col(domain)).withColumn("found", F.col(domain) if found is None else found)
+    rows = rows.withColumn("relabelled", ~F.col("found").eqNullSafe(F.col("expected")))
+    rows = rows.withColumn("confidence", F.lit(1.0) if confidence is None else confidence).withColumn(domain, F.col("found"))
+    rows = rows.drop("found", "expected").withColumn("source", F.lit("synthetic_validated"))
+    return rows.where(F.col("is_valid") & ~F.col("relabelled")) if strict else rows
+
+
+def gate_statistics(gate: DataFrame, *, passed: Column, relabelled: Column, config: QualityConfig = QualityConfig()) -> DataFrame:
+    """One row: ``total``, ``passed``, ``relabelled`` (another label, of rows without issues),
+    ``low_similarity``, ``high_similarity``, ``many_changes`` (a row may count in several), and the
+    rates of the first two by the total, null for an empty table."""
+    out = gate.agg(
+        F.count("*").alias("total"), F.count_if(passed).alias("passed"), F.count_if(relabelled & F.col("is_valid")).alias("relabelled"),
+        F.count_if(F.col("cosine") < config.min_cosine).alias("low_similarity"), F.count_if(F.col("cosine") > config.max_cosine).alias("high_similarity"),
+        F.count_if(F.col("ratio") > config.max_ratio).alias("many_changes"),
+    )
+    return out.withColumn("pass_rate", F.try_divide("passed", "total")).withColumn("relabel_rate", F.try_divide("relabelled", "total"))
+
+
+def drop_invalid(df: DataFrame, metrics: str = "quality_metrics") -> DataFrame:
+    """Rows without those whose ``metrics.is_valid`` is false; where it is missing the row stays."""
+    return df.where(F.coalesce(F.col(f"`{metrics}`.is_valid"), F.lit(True)))
+
+
 def near_duplicates(df: DataFrame, *, id_col: str, text_col: str, threshold: float = 0.95) -> DataFrame:
     """``id``, ``class_id``, ``n_links``: class of equal texts and number of other classes whose
     TF-IDF cosine is at least ``threshold``.

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from siltwork.config import WriterConfig
 from siltwork.functions.taxonomy import is_stop_word, normalise_label, rule_label, soft_candidates, validate_domain
-from siltwork.functions.text import canonical_domain
-from siltwork.operators import dataset, etl, feedback, labels, similarity, versions
+from siltwork.functions.text import DOMAINS, canonical_domain
+from siltwork.operators import dataset, etl, feedback, labels, model_calls, similarity, versions
 from siltwork.operators.model_calls import cache_key, latest_entries, rule_classification
 from siltwork.operators.model_calls import cache_statistics as model_cache_statistics
 from siltwork.operators.schema_drift import schema_changes, unified_records
@@ -252,6 +252,99 @@ def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.groupBy(F.array_join("issues", ",").alias("issues"), "is_valid").agg(F.count("*").alias("n"))
 
 
+def _gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants with the domain of their original, as the gate of similarity sees them."""
+    df = table(spark, sf_dir, "augmentation_result")
+    domains = df.select(F.col("aug_id").cast("string").alias("aug"), canonical_domain(F.col("domain")).alias("domain"))
+    domains = domains.groupBy("aug").agg(F.min("domain").alias("domain"))
+    p = _pairs(spark, sf_dir).withColumn("aug", F.substring_index("id", "-", 1)).join(domains, "aug").drop("aug")
+    return similarity.quality_gate(p, similarity.pair_cosine(p, corpus=df.select(F.col("original_text").alias("text"))))
+
+
+def synthetic_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants that pass the gate and keep their domain when labelled again by rules."""
+    c = rule_classification(F.col("b"))
+    out = similarity.synthetic_gate(_gate(spark, sf_dir), found=c["label"], confidence=c["confidence"])
+    return out.select("id", "domain", "confidence", "source")
+
+
+def synthetic_relabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without strictness: all variants, under the label found, by outcome."""
+    c = rule_classification(F.col("b"))
+    out = similarity.synthetic_gate(_gate(spark, sf_dir), found=c["label"], confidence=c["confidence"], strict=False)
+    return out.groupBy("domain", "relabelled", "is_valid").agg(F.count("*").alias("n"))
+
+
+def gate_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters and rates of the strict gate."""
+    gate = _gate(spark, sf_dir)
+    other = rule_classification(F.col("b"))["label"] != F.col("domain")
+    return similarity.gate_statistics(gate, passed=F.col("is_valid") & ~other, relabelled=other)
+
+
+def valid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validated items without those found invalid."""
+    df = table(spark, sf_dir, "validation_result").withColumn("quality_metrics", F.struct("is_valid", "validation_issues"))
+    return similarity.drop_invalid(df).groupBy("final_domain").agg(F.count("*").alias("n"))
+
+
+def augmentation_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first thirty seeds of each label."""
+    return dataset.augmentation_seeds(table(spark, sf_dir, "classification_result"), id_col="result_id").select("result_id", "domain", "turn")
+
+
+def dataset_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fit rows by domain, records by source, as the metadata of a data set tells them."""
+    sources = dataset.distributions(_records(spark, sf_dir), ("source",))
+    return dataset.distributions(_fit(spark, sf_dir), ("domain",)).unionByName(sources)
+
+
+def labeler_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors and low confidence among the results."""
+    return model_calls.labeler_rates(_results(spark, sf_dir), confidence=F.col("conf"), error=F.coalesce(F.col("reasoning").startswith("Error"), F.lit(False)))
+
+
+def augmenter_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants and failures of the augmentation."""
+    return model_calls.augmenter_rates(table(spark, sf_dir, "augmentation_result"))
+
+
+def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the answer for a review item depends on: text, labels and the notes as context."""
+    key = model_calls.label_key(F.col("text"), DOMAINS, F.col("notes"))
+    return table(spark, sf_dir, "review_item").select("review_id", F.md5(key).alias("key"))
+
+
+def cache_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache of results with the reviews as later answers, by answer."""
+    old = table(spark, sf_dir, "classification_result").where("text IS NOT NULL").select(cache_key(F.col("text")).alias("key"), validate_domain(F.col("domain_id")).alias("result"), F.col("classified_at").alias("ts"))
+    new = table(spark, sf_dir, "review_item").where("text IS NOT NULL AND review_timestamp IS NOT NULL").select(
+        cache_key(F.col("text")).alias("key"), validate_domain(F.coalesce("corrected_domain", "predicted_domain")).alias("result"), F.col("review_timestamp").alias("ts")
+    )
+    return model_calls.cache_put(old, new).groupBy("result").agg(F.count("*").alias("n"), F.max("ts").alias("latest"))
+
+
+_STATUSES = ("pending", "in_review", "approved", "corrected", "skipped", "rejected")
+_PRIORITIES = ("critical", "high", "medium", "low")
+
+
+def queue_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Review items in all, by status and by priority."""
+    return feedback.queue_statistics(table(spark, sf_dir, "review_item"), statuses=_STATUSES, priorities=_PRIORITIES)
+
+
+def queue_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next 25 pending items (the number is the feature)."""
+    df = table(spark, sf_dir, "review_item").where("NOT isnan(confidence)")
+    return feedback.queue_order(df, 25).select("review_id", feedback.priority_of(F.col("confidence")).alias("priority"))
+
+
+def answer_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels and confidence of results with defaults for what is missing."""
+    d = model_calls.answer_defaults((F.col("domain_id"), F.col("domain_true")), (F.col("confidence"), F.col("top_candidates")[0]["score"]))
+    return table(spark, sf_dir, "classification_result").select("result_id", d["label"].alias("label"), d["confidence"].alias("confidence"))
+
+
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of equal texts of each document and its number of near-duplicate classes."""
     out = similarity.near_duplicates(table(spark, sf_dir, "documents"), id_col="doc_id", text_col="text")
@@ -408,6 +501,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
     for q in (
         p2_found, p2_table, p7_found, etl_records, etl_statistics, etl_columns, etl_metadata, etl_domain_distribution, labels_normalised, labels_stop_words, labels_soft, labels_rules, labels_override, low_confidence, consensus_labels, ensemble_labels, calibration_table, calibrated, confidence_summary, confusions, quality_filter, balanced_rows, stratified_split, dataset_statistics, dataset_score, source_distribution, output_rows, sharded_rows, levenshtein_pairs, term_statistics, tfidf_norms, pair_cosine, quality_gate, near_duplicates, review_batch, reviewed_export, feedback_statistics, feedback_retrain, feedback_warnings, feedback_examples, context_last, context_preferences, context_statistics, cache_lookup, scan_recent, scan_between, version_tags, metadata_difference, union_all, label_accuracy, validation_rates, problem_items, cache_statistics, feedback_prompts, context_preferred, context_prompts,
+        synthetic_gate, synthetic_relabelled, gate_statistics, valid_rows, augmentation_seeds, dataset_distributions, labeler_rates, augmenter_rates, cache_keys, cache_merge, queue_statistics, queue_next, answer_defaults,
     )
 }
 

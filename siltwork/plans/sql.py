@@ -99,7 +99,47 @@ _STATS = """dist AS (SELECT domain, count(*) AS n, sum(length(text)) AS chars, s
     stats AS (SELECT sum(n)::BIGINT AS n_rows, count(*) AS n_domains, sum(chars) / sum(n) AS avg_length, sum(cs) / sum(cn) AS avg_confidence,
         stddev_pop(n) / avg(n) AS imbalance FROM dist)"""
 
+_GATE = f"""{_PAIRS}, {_EDITS}, size AS (SELECT count(*) AS n FROM augmentation_result WHERE original_text IS NOT NULL),
+        corpus AS (SELECT term, count(*) AS df FROM (
+            SELECT unnest(list_distinct({_terms('original_text')})) AS term FROM augmentation_result WHERE original_text IS NOT NULL) GROUP BY term),
+        {_COSINE.format(p="pairs", a=_terms("a"), b=_terms("b"), none="0")},
+        dom AS (SELECT aug_id::VARCHAR AS aug, min({_domain('domain')}) AS domain FROM augmentation_result GROUP BY 1),
+        h AS (SELECT id, split_part(id, '-', 1) AS aug, lower({_strip('b')}) IN {STOP_WORDS} AS stop, {_hits('b')} FROM pairs),
+        x AS (SELECT id, aug, stop, {_ranked()} AS r FROM h), y AS (SELECT *, {_RULE} AS rule FROM x),
+        lab AS (SELECT id, aug, CASE WHEN stop THEN 'oos' ELSE coalesce(rule, r[1].l, 'oos') END AS found,
+            (CASE WHEN stop THEN 0.95 WHEN rule IS NOT NULL THEN 0.9 WHEN len(r) > 0 THEN 0.5 ELSE 0 END)::DOUBLE AS conf FROM y),
+        gate AS (SELECT edits.id, cosine, ratio, NOT (cosine > 0.95 OR cosine < 0.3 OR d < 3 OR ratio > 0.8) AS ok, found, conf, domain
+            FROM edits JOIN cosine USING (id) JOIN lab USING (id) JOIN dom USING (aug))"""
+
 SQL: dict[str, str] = {
+    "synthetic_gate": f"WITH RECURSIVE {_GATE} SELECT id, domain, conf AS confidence, 'synthetic_validated' AS source FROM gate WHERE ok AND found = domain",
+    "synthetic_relabelled": f"WITH RECURSIVE {_GATE} SELECT found AS domain, found <> gate.domain AS relabelled, ok AS is_valid, count(*) AS n FROM gate GROUP BY 1, 2, 3",
+    "gate_statistics": f"""WITH RECURSIVE {_GATE}, c AS (SELECT count(*) AS total, count(*) FILTER (ok AND found = domain) AS passed, count(*) FILTER (ok AND found <> domain) AS relabelled,
+            count(*) FILTER (cosine < 0.3) AS low_similarity, count(*) FILTER (cosine > 0.95) AS high_similarity, count(*) FILTER (ratio > 0.8) AS many_changes FROM gate)
+        SELECT *, passed / total AS pass_rate, relabelled / total AS relabel_rate FROM c""",
+    "valid_rows": "SELECT final_domain, count(*) AS n FROM validation_result WHERE is_valid IS NOT FALSE GROUP BY 1",
+    "augmentation_seeds": """WITH s AS (SELECT result_id, coalesce(nullif(domain_true, ''), nullif(domain_id, '')) AS domain FROM classification_result WHERE text <> '')
+        SELECT result_id, domain, row_number() OVER (PARTITION BY domain ORDER BY result_id)::INT AS turn FROM s WHERE domain <> 'unknown' QUALIFY turn <= 30""",
+    "dataset_distributions": f"""WITH {_FIT} SELECT 'domain' AS field, domain AS value, count(*) AS n FROM fit GROUP BY 2
+        UNION ALL SELECT 'source', source, count(*) FROM processed_record GROUP BY 2""",
+    "labeler_rates": f"""WITH {_RES}, c AS (SELECT count(*) AS total, count(*) FILTER (starts_with(reasoning, 'Error')) AS errors, count(*) FILTER (conf < 0.5) AS low_confidence FROM res)
+        SELECT *, errors / total AS error_rate, low_confidence / total AS low_rate FROM c""",
+    "augmenter_rates": """WITH c AS (SELECT count(*) AS total, coalesce(sum(len(variants)), 0)::BIGINT AS generated, count(*) FILTER (NOT coalesce(success, false)) AS errors FROM augmentation_result)
+        SELECT *, generated / total AS variants_per_seed, errors / total AS error_rate FROM c""",
+    "cache_keys": f"""SELECT review_id, md5(concat_ws('|', coalesce(text, ''), '{",".join(sorted(DOMAINS))}', nullif(left(notes, 100), ''))) AS key FROM review_item""",
+    "cache_merge": f"""WITH a AS (SELECT text, {_domain('domain_id')} AS result, classified_at AS ts FROM classification_result WHERE text IS NOT NULL
+            UNION ALL SELECT text, {_domain('coalesce(corrected_domain, predicted_domain)')}, review_timestamp FROM review_item WHERE text IS NOT NULL AND review_timestamp IS NOT NULL),
+        l AS (SELECT result, ts FROM a QUALIFY row_number() OVER (PARTITION BY text ORDER BY ts DESC NULLS LAST, result DESC) = 1)
+        SELECT result, count(*) AS n, max(ts) AS latest FROM l GROUP BY 1""",
+    "queue_statistics": """WITH s AS (SELECT unnest(['pending', 'in_review', 'approved', 'corrected', 'skipped', 'rejected']) AS name), p AS (SELECT unnest(['critical', 'high', 'medium', 'low']) AS name)
+        SELECT 'all' AS kind, '' AS name, count(*) AS n, avg(confidence) AS avg_confidence FROM review_item
+        UNION ALL SELECT 'status', name, count(review_id), avg(confidence) FROM s LEFT JOIN review_item ON status = name GROUP BY 2
+        UNION ALL SELECT 'priority', name, count(review_id), avg(confidence) FROM p LEFT JOIN review_item ON priority = name GROUP BY 2""",
+    "queue_next": """WITH q AS (SELECT *, CASE WHEN confidence < 0.3 THEN 'critical' WHEN confidence < 0.5 THEN 'high' WHEN confidence < 0.7 THEN 'medium' WHEN confidence >= 0.7 THEN 'low' ELSE 'critical' END AS p
+            FROM review_item WHERE status = 'pending' AND NOT isnan(confidence))
+        SELECT review_id, p AS priority FROM q ORDER BY list_position(['critical', 'high', 'medium', 'low'], p), confidence NULLS LAST, created_at NULLS LAST, review_id LIMIT 25""",
+    "answer_defaults": """SELECT result_id, coalesce(nullif(domain_id, ''), nullif(domain_true, ''), 'oos') AS label,
+        coalesce(nullif(confidence, 0), nullif(top_candidates[1].score, 0), 0.5) AS confidence FROM classification_result""",
     "etl_records": f"WITH {_FIRST} SELECT row_id, text, user_id, source FROM kept",
     "etl_statistics": f"""WITH {_clean("text")} SELECT count(*) AS total, count(DISTINCT text) AS processed, count(*) FILTER (text IS NULL) AS filtered,
         count(text) - count(DISTINCT text) AS duplicates FROM clean""",

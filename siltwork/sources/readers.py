@@ -103,6 +103,13 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, mode="DROPMALFORMED")
 
 
+def read_queue(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
+    """Waiting rows of a queue of JSON lines, broken lines skipped; the first ``n`` of them (by file
+    and place, the number is the feature)."""
+    rows = read_jsonl(spark, path)
+    return rows if n is None else rows.limit(n)
+
+
 class _Sheet(InputPartition):
     def __init__(self, path: str) -> None:
         self.path = path

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltwork.functions.taxonomy import or_chain
 from siltwork.operators.ranking import ranked_within
+from siltwork.session import materialised
 
 
 def output_rows(df: DataFrame, text: str = "text") -> DataFrame:
@@ -30,9 +31,53 @@ def with_shard(df: DataFrame, rows: int, order: str) -> DataFrame:
     return ranked.withColumn("shard", (F.floor((F.col("__sw_rank") - 1) / rows) + 1).cast("int")).drop("__sw_rank")
 
 
-def write_sharded(df: DataFrame, path: str, *, rows: int, order: str) -> None:
-    """One folder a shard."""
-    with_shard(df, rows, order).write.mode("overwrite").partitionBy("shard").json(path)
+def write_sharded(df: DataFrame, path: str, *, rows: int, order: str, whole: str | None = None) -> None:
+    """One folder a shard under ``path``; with ``whole`` the same rows in one data set there, too."""
+    sharded = materialised(with_shard(df, rows, order)) if whole is not None else with_shard(df, rows, order)
+    sharded.write.mode("overwrite").partitionBy("shard").json(path)
+    if whole is not None:
+        write_jsonl(sharded.drop("shard"), whole)
+
+
+def _folder(spark: SparkSession, path: str):  # noqa: ANN202 - objects of the JVM
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, on any file system that Hadoop knows."""
+    fs, target = _folder(spark, path)
+    return fs.exists(target)
+
+
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files under a folder; 0 where there is none."""
+    fs, target = _folder(spark, path)
+    return fs.getContentSummary(target).getLength() if fs.exists(target) else 0
+
+
+def list_chunks(spark: SparkSession, pattern: str) -> list[str]:
+    """Sorted paths that fit a glob pattern."""
+    fs, target = _folder(spark, pattern)
+    return sorted(f.getPath().toString() for f in fs.globStatus(target) or [])
+
+
+def write_or_delete(df: DataFrame, path: str) -> bool:
+    """JSON lines if there are rows; else what is there is deleted. Whether there were rows."""
+    if not df.isEmpty():
+        write_jsonl(df, path)
+        return True
+    fs, target = _folder(df.sparkSession, path)
+    fs.delete(target, True)
+    return False
+
+
+def write_metadata(stats: DataFrame, counts: DataFrame, path: str) -> None:
+    """One JSON object: the statistics (one row) and ``distributions``, numbers of rows by value of
+    each field. Values of a distribution are labels, few whatever the data."""
+    by_field = counts.groupBy("field").agg(F.map_from_entries(F.collect_list(F.struct(F.coalesce("value", F.lit("")), "n"))).alias("d"))
+    maps = by_field.agg(F.map_from_entries(F.collect_list(F.struct("field", "d"))).alias("distributions"))
+    stats.crossJoin(F.broadcast(maps)).coalesce(1).write.mode("overwrite").json(path)  # two tables of one row
 
 
 def export(df: DataFrame, path: str, fmt: str = "parquet") -> None:

@@ -147,7 +147,7 @@ def test_versions(spark, tmp_path):
     with pytest.raises(ValueError):
         store.commit(df, tag="v1.0.0", as_of=now)
     assert [r["tag"] for r in store.archived(keep=1).collect()] == ["v1.0.0"]
-    assert tuple(store.statistics().first()) == (2, 3, "v1.1.0")
+    assert tuple(store.statistics().first())[:3] == (2, 3, "v1.1.0")
 
 
 def test_feedback_and_context(spark):
