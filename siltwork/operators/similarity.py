@@ -111,17 +111,19 @@ def drop_invalid(df: DataFrame, metrics: str = "quality_metrics") -> DataFrame:
     return df.where(F.coalesce(F.col(f"`{metrics}`.is_valid"), F.lit(True)))
 
 
-def near_duplicates(df: DataFrame, *, id_col: str, text_col: str, threshold: float = 0.95) -> DataFrame:
-    """``id``, ``class_id``, ``n_links``: class of equal texts and number of other classes whose
-    TF-IDF cosine is at least ``threshold``.
+def duplicate_links(df: DataFrame, *, id_col: str, text_col: str, threshold: float = 0.95) -> tuple[DataFrame, DataFrame]:
+    """(``t``, ``class_id``, ``copies`` of every distinct text; ``a``, ``b`` of every two classes
+    whose TF-IDF cosine is at least ``threshold``).
 
     Vectors are fitted on all distinct texts with all their terms. A text's terms are taken from
     the rarest on until the rest can no longer reach the threshold (prefix filter): two texts that
-    do share a prefix term. Candidates are verified on whole vectors. Texts without terms link to
-    nothing; null texts have no row.
+    do share a prefix term. Of pairs that share some, those stay whose common prefix and what is
+    left of both lengths can still reach it; these are verified on whole vectors. Links are
+    between classes, so copies of a text cost nothing. Texts without terms link to nothing; null
+    texts are in no class; an empty table gives two empty tables.
     """
-    base = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("t IS NOT NULL")
-    classes = base.groupBy("t").agg(F.min("id").alias("class_id"))
+    base = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t")).where("t IS NOT NULL")
+    classes = checkpointed(base.groupBy("t").agg(F.min("id").alias("class_id"), F.count("*").alias("copies")))
     counts = checkpointed(term_counts(classes, "class_id", "t"))
     n = counts.select("id").distinct().count()
     vocab = vocabulary(counts, None)
@@ -131,10 +133,31 @@ def near_duplicates(df: DataFrame, *, id_col: str, text_col: str, threshold: flo
     # for are outside of the prefix.
     prefix = weights.withColumn("suffix", rest).where(F.col("suffix") >= threshold * threshold - 1e-9)
     # A term shared by all is no prefix term unless a text has nothing rarer, so posting lists are short.
-    left = prefix.where("df > 1").select(F.col("id").alias("a"), "term")
-    cand = left.join(left.withColumnRenamed("a", "b"), "term").where("a < b").select("a", "b").distinct()
+    left = prefix.where("df > 1").select(F.col("id").alias("a"), "term", F.col("weight").alias("wa"))
+    met = left.join(left.withColumnsRenamed({"a": "b", "wa": "wb"}), "term").where("a < b")
+    common = met.groupBy("a", "b").agg(*[F.sum(F.col(x) * F.col(y)).alias(x + y) for x, y in (("wa", "wb"), ("wa", "wa"), ("wb", "wb"))])
+    left_over = lambda c: F.greatest(F.lit(0.0), 1 - F.col(c))
+    cand = common.where(F.col("wawb") + F.sqrt(left_over("wawa") * left_over("wbwb")) >= threshold - 1e-9).select("a", "b")
     wa = weights.select(F.col("id").alias("a"), "term", F.col("weight").alias("wa"))
     wb = weights.select(F.col("id").alias("b"), "term", F.col("weight").alias("wb"))
     links = cand.join(wa, "a").join(wb, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cos")).where(F.col("cos") >= threshold - 1e-9)
+    return classes, checkpointed(links.select("a", "b"))
+
+
+def near_duplicates(df: DataFrame, *, id_col: str, text_col: str, threshold: float = 0.95) -> DataFrame:
+    """``id``, ``class_id``, ``n_links``: class of equal texts and number of other classes that
+    ``duplicate_links`` ties to it. Null texts have no row."""
+    classes, links = duplicate_links(df, id_col=id_col, text_col=text_col, threshold=threshold)
+    base = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t")).where("t IS NOT NULL")
     ends = links.select(F.col("a").alias("class_id")).unionAll(links.select(F.col("b").alias("class_id"))).groupBy("class_id").agg(F.count("*").alias("n_links"))
     return base.join(classes, "t").join(ends, "class_id", "left").select("id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def duplicate_share(df: DataFrame, *, id_col: str, text_col: str, threshold: float = 0.95) -> DataFrame:
+    """One row, ``dup``: pairs of rows with equal or near-equal texts, by the number of rows with a
+    text (null for none). Pairs are counted by class, never listed."""
+    classes, links = duplicate_links(df, id_col=id_col, text_col=text_col, threshold=threshold)
+    size = lambda c: classes.select(F.col("class_id").alias(c), F.col("copies").alias("n" + c))
+    between = links.join(size("a"), "a").join(size("b"), "b").agg(F.coalesce(F.sum(F.col("na") * F.col("nb")), F.lit(0)).alias("between"))
+    within = classes.agg(F.sum(F.col("copies") * (F.col("copies") - 1) / 2).alias("within"), F.sum("copies").alias("n"))
+    return within.crossJoin(F.broadcast(between)).select(F.try_divide(F.col("within") + F.col("between"), "n").alias("dup"))  # two tables of one row

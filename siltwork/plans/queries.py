@@ -188,9 +188,9 @@ def dataset_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dataset_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Their quality score, with the share of repeated texts."""
+    """Their quality score, with equal and near-equal pairs of texts by rows."""
     fit = _fit(spark, sf_dir)
-    share = fit.groupBy("text").agg(F.count("*").alias("n")).agg(F.try_divide(F.sum(F.col("n") - 1), F.sum("n")).alias("dup"))
+    share = similarity.duplicate_share(fit, id_col="result_id", text_col="text")
     stats = dataset.dataset_statistics(fit, confidence="conf").crossJoin(F.broadcast(share))  # two tables of one row
     return dataset.dataset_score(stats, F.col("dup")).select("n_rows", "score", "issues")
 

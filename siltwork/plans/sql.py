@@ -111,6 +111,13 @@ _GATE = f"""{_PAIRS}, {_EDITS}, size AS (SELECT count(*) AS n FROM augmentation_
         gate AS (SELECT edits.id, cosine, ratio, NOT (cosine > 0.95 OR cosine < 0.3 OR d < 3 OR ratio > 0.8) AS ok, found, conf, domain
             FROM edits JOIN cosine USING (id) JOIN lab USING (id) JOIN dom USING (aug))"""
 
+_LINKS = f"""
+        tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({_terms('text')}) AS term FROM cls) GROUP BY 1, 2),
+        df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), n AS (SELECT count(DISTINCT id) AS n FROM tf),
+        raw AS (SELECT id, term, tf * (ln((1.0 + n) / (1.0 + df)) + 1) AS w FROM tf JOIN df USING (term), n),
+        v AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM raw),
+        links AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.term = b.term AND a.id <> b.id GROUP BY 1, 2 HAVING sum(a.w * b.w) >= 0.95 - 1e-9)"""
+
 SQL: dict[str, str] = {
     "synthetic_gate": f"WITH RECURSIVE {_GATE} SELECT id, domain, conf AS confidence, 'synthetic_validated' AS source FROM gate WHERE ok AND found = domain",
     "synthetic_relabelled": f"WITH RECURSIVE {_GATE} SELECT found AS domain, found <> gate.domain AS relabelled, ok AS is_valid, count(*) AS n FROM gate GROUP BY 1, 2, 3",
@@ -192,7 +199,9 @@ SQL: dict[str, str] = {
         q AS (SELECT domain, take + greatest(0, least(room, missing - before)) AS quota FROM c)
         SELECT result_id, r.domain, CASE WHEN rn <= quota THEN 'eval' ELSE 'train' END AS split FROM r JOIN q USING (domain)""",
     "dataset_statistics": f"WITH {_FIT}, {_STATS} SELECT * FROM stats",
-    "dataset_score": f"""WITH {_FIT}, {_STATS}, d AS (SELECT sum(n - 1) / sum(n) AS dup FROM (SELECT count(*) AS n FROM fit GROUP BY text))
+    "dataset_score": f"""WITH {_FIT}, {_STATS}, cls AS (SELECT text, min(result_id) AS id, count(*) AS copies FROM fit GROUP BY text), {_LINKS},
+        d AS (SELECT ((SELECT sum(copies * (copies - 1) / 2) FROM cls) + (SELECT coalesce(sum(x.copies * y.copies), 0) / 2 FROM links JOIN cls x ON x.id = a JOIN cls y ON y.id = b))
+            / (SELECT sum(copies) FROM cls) AS dup)
         SELECT n_rows, greatest(0.0, least(1.0, 1 - 0.3 * dup - least(0.2 * imbalance, 0.3) - 0.2 * (1 - avg_confidence))) AS score,
             array_to_string(list_filter([CASE WHEN dup > 0.05 THEN 'duplicates' END, CASE WHEN imbalance > 1 THEN 'imbalance' END,
                 CASE WHEN avg_length < 10 THEN 'short texts' END, CASE WHEN avg_length > 500 THEN 'long texts' END], lambda x: x IS NOT NULL), ',') AS issues FROM stats, d""",
@@ -217,12 +226,7 @@ SQL: dict[str, str] = {
             CASE WHEN d < 3 THEN 'few changes' END, CASE WHEN ratio > 0.8 THEN 'many changes' END], lambda x: x IS NOT NULL), ',') AS issues
             FROM edits JOIN cosine USING (id))
         SELECT issues, issues = '' AS is_valid, count(*) AS n FROM i GROUP BY 1, 2""",
-    "near_duplicates": f"""WITH cls AS (SELECT text, min(doc_id) AS id FROM documents WHERE text IS NOT NULL GROUP BY text),
-        tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({_terms('text')}) AS term FROM cls) GROUP BY 1, 2),
-        df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), n AS (SELECT count(DISTINCT id) AS n FROM tf),
-        raw AS (SELECT id, term, tf * (ln((1.0 + n) / (1.0 + df)) + 1) AS w FROM tf JOIN df USING (term), n),
-        v AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM raw),
-        links AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.term = b.term AND a.id <> b.id GROUP BY 1, 2 HAVING sum(a.w * b.w) >= 0.95 - 1e-9),
+    "near_duplicates": f"""WITH cls AS (SELECT text, min(doc_id) AS id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY text), {_LINKS},
         c AS (SELECT a AS id, count(*) AS n_links FROM links GROUP BY a)
         SELECT doc_id, cls.id AS class_id, coalesce(n_links, 0) AS n_links FROM documents JOIN cls USING (text) LEFT JOIN c ON c.id = cls.id""",
     "review_batch": f"""WITH {_RES}, one AS (SELECT text, min({{'c': conf, 'r': result_id}}) AS m FROM res
