@@ -10,6 +10,7 @@ summed for each annotator. Nothing of the size of the data leaves the executors.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -113,8 +114,9 @@ def consensus(
     annotators: ``annotator``, ``community`` (most probable, 0 the most reliable level given),
     ``reliability`` (probability of a right label), ``n_labels``.
 
-    One label of an annotator for an item: of repeated ones the least stands, so remove outdated
-    ones first. Labels outside ``classes`` and null ones are left out; an item with no label left
+    Every label counts with its weight (null: 1): of a repeated one the weights add up, and of
+    different ones of an annotator for an item all count, as vote counts of unnamed runs do, so
+    remove outdated ones first. A warning tells if the updates haven't settled after ``rounds``. Labels outside ``classes`` and null ones are left out; an item with no label left
     has label null and probability null. A null annotator counts as one of its own. Ties go to
     the class named first. Only the number of annotators is bounded (their matrices are sent to
     all executors): beyond ``max_annotators`` a ValueError. Empty votes give two empty tables.
@@ -176,6 +178,9 @@ def consensus(
         if before is not None and np.abs(right - before).max() < tolerance:
             break
         before = right
+    else:
+        if names:
+            warnings.warn(f"consensus: not settled after {rounds} rounds", stacklevel=2)
     model = sc.broadcast(state.model())
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -61,6 +61,16 @@ def test_consensus_cases(spark):
         consensus(votes_of(spark, rows), classes=("a", "b"), max_annotators=1)
 
 
+def test_weights_add_up_and_conflicts_count(spark):
+    rows = [(f"i{k}", w, "a" if k % 2 else "b", 1.0) for k in range(30) for w in ("x", "y")]
+    rows += [("q", "x", "a", 1.0), ("q", "x", "b", 2.0), ("q", "x", "b", 1.0), ("r", "y", "a", 1.0), ("r", "y", "a", None)]
+    items, people = consensus(votes_of(spark, rows), classes=("a", "b"))
+    got = {r["item"]: r for r in items.collect()}
+    assert (got["q"]["label"], got["q"]["n_labels"], got["r"]["label"], got["r"]["n_labels"], got["r"]["agreement"]) == ("b", 4, "a", 2, 1.0)
+    with pytest.warns(UserWarning, match="not settled"):
+        consensus(votes_of(spark, rows), classes=("a", "b"), rounds=1)
+
+
 def test_annotation_votes(spark):
     p = "array<struct<domain string, confidence double, temperature string, run int>>"
     v = spark.createDataFrame(
