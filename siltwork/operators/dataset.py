@@ -29,6 +29,17 @@ def domain_sizes(df: DataFrame, domain: str = "domain") -> DataFrame:
     return df.groupBy(F.col(domain).alias("domain")).agg(F.count("*").alias("n"))
 
 
+#: Domains whose sizes may reach the driver.
+MAX_DOMAINS = 1000
+
+
+def _collected_sizes(df: DataFrame, domain: str) -> dict[str | None, int]:
+    rows = domain_sizes(df, domain).limit(MAX_DOMAINS + 1).collect()
+    if len(rows) > MAX_DOMAINS:
+        raise ValueError(f"more than {MAX_DOMAINS} domains")
+    return {r["domain"]: r["n"] for r in rows}
+
+
 def balance_target(sizes: list[int], config: WriterConfig = WriterConfig()) -> int:
     """Rows each domain should have: the upper median, or with a cap the mean up to the cap."""
     ordered = sorted(sizes)
@@ -42,9 +53,10 @@ def balance_target(sizes: list[int], config: WriterConfig = WriterConfig()) -> i
 def balance(df: DataFrame, *, domain: str = "domain", id_col: str = "row_id", config: WriterConfig = WriterConfig()) -> DataFrame:
     """``df`` and ``copy``: larger domains cut to the target by seeded order, smaller ones repeated
     in turn up to it. Domains with fewer rows than ``min_per_domain`` stay as they are. The number
-    of domains is that of the taxonomy; their sizes are all that reaches the driver.
+    of domains is that of the taxonomy; their sizes are all that reaches the driver, and more than
+    ``MAX_DOMAINS`` are a ValueError.
     """
-    sizes = {r["domain"]: r["n"] for r in domain_sizes(df, domain).collect()}
+    sizes = _collected_sizes(df, domain)
     target = balance_target(list(sizes.values()), config)
     goal = {d: n if n < config.min_per_domain else target for d, n in sizes.items()}
     ranked = ranked_within(df, F.col(domain), [seeded_order(id_col, config.seed), F.col(f"`{id_col}`")], "__sw_rank")
@@ -72,7 +84,7 @@ def eval_sizes(sizes: dict[str | None, int], config: WriterConfig = WriterConfig
 
 def stratified_split(df: DataFrame, *, domain: str = "domain", id_col: str = "row_id", config: WriterConfig = WriterConfig()) -> DataFrame:
     """``df`` and ``split`` (train or eval), by domain and seeded order."""
-    sizes = {r["domain"]: r["n"] for r in domain_sizes(df, domain).collect()}  # one row a domain
+    sizes = _collected_sizes(df, domain)  # one row a domain
     take = eval_sizes(sizes, config)
     ranked = ranked_within(df, F.col(domain), [seeded_order(id_col, config.seed), F.col(f"`{id_col}`")], "__sw_rank")
     limit = F.lit(0)

@@ -5,15 +5,17 @@ from __future__ import annotations
 import csv
 import datetime
 import io
+import itertools
 import os
 import re
 import zipfile
+from collections.abc import Iterator
 from urllib.parse import unquote
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Bytes at the head of a file from which separator and encoding are told.
 SNIFF_BYTES = 65_536
@@ -110,76 +112,71 @@ def read_queue(spark: SparkSession, path: str, n: int | None = None) -> DataFram
     return rows if n is None else rows.limit(n)
 
 
-class _Sheet(InputPartition):
-    def __init__(self, path: str) -> None:
-        self.path = path
+_NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
-_NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
+def _texts(element: ElementTree.Element) -> str:
+    return "".join(t.text or "" for t in element.iter(f"{_NS}t"))
 
 
-def _sheet_rows(path: str) -> list[list[str | None]]:
-    """Cells of the first sheet of a workbook, as strings."""
-    with zipfile.ZipFile(path) as book:
+def _sheet_rows(content: bytes) -> Iterator[list[str | None]]:
+    """Cells of the first sheet of a workbook, as strings, row by row; its XML is read as a stream."""
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
         names = book.namelist()
         shared: list[str] = []
         if "xl/sharedStrings.xml" in names:
-            root = ElementTree.fromstring(book.read("xl/sharedStrings.xml"))
-            shared = ["".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")) for si in root.findall("m:si", _NS)]
-        sheet = min(n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n))
-        rows = []
-        for row in ElementTree.fromstring(book.read(sheet)).iter(f"{{{_NS['m']}}}row"):
-            cells: list[str | None] = []
-            for c in row.findall("m:c", _NS):
-                letters = re.match(r"[A-Z]+", c.get("r", "")) or re.match(r"[A-Z]+", "A")
-                at = 0
-                for ch in letters.group():
-                    at = at * 26 + ord(ch) - 64
-                cells += [None] * (at - 1 - len(cells))
-                v = c.find("m:v", _NS)
-                if c.get("t") == "inlineStr":
-                    cells.append("".join(t.text or "" for t in c.iter(f"{{{_NS['m']}}}t")))
-                elif v is None or v.text is None:
-                    cells.append(None)
-                else:
-                    cells.append(shared[int(v.text)] if c.get("t") == "s" else v.text)
-            rows.append(cells)
-    return rows
-
-
-class WorkbookSource(DataSource):
-    """Format ``workbook``: first sheets of .xlsx files, first row as header, all cells strings."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "workbook"
-
-    def _paths(self) -> list[str]:
-        path = self.options["path"]
-        return sorted(os.path.join(path, f) for f in os.listdir(path) if f.endswith(".xlsx")) if os.path.isdir(path) else [path]
-
-    def schema(self) -> str:
-        header = (_sheet_rows(self._paths()[0]) or [[]])[0]
-        return ", ".join(f"`{(h or f'column_{i}').replace('`', '')}` string" for i, h in enumerate(header))
-
-    def reader(self, schema) -> DataSourceReader:  # noqa: ANN001 - Spark's signature
-        paths, width = self._paths(), len(schema.fields)
-
-        class Reader(DataSourceReader):
-            def partitions(self) -> list[InputPartition]:
-                return [_Sheet(p) for p in paths]
-
-            def read(self, partition: InputPartition):  # noqa: ANN202
-                for cells in _sheet_rows(partition.path)[1:]:
-                    yield tuple((cells + [None] * width)[:width])
-
-        return Reader()
+            with book.open("xl/sharedStrings.xml") as xml:
+                for _, element in ElementTree.iterparse(xml):
+                    if element.tag == f"{_NS}si":
+                        shared.append(_texts(element))
+                        element.clear()
+        sheets = [n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)]
+        if not sheets:
+            return
+        with book.open(min(sheets, key=lambda n: (len(n), n))) as xml:
+            for _, row in ElementTree.iterparse(xml):
+                if row.tag != f"{_NS}row":
+                    continue
+                cells: list[str | None] = []
+                for c in row.findall(f"{_NS}c"):
+                    at = 0
+                    for ch in re.match(r"[A-Z]*", c.get("r", "")).group() or "A":
+                        at = at * 26 + ord(ch) - 64
+                    cells += [None] * (at - 1 - len(cells))
+                    v = c.find(f"{_NS}v")
+                    if c.get("t") == "inlineStr":
+                        cells.append(_texts(c))
+                    elif v is None or v.text is None:
+                        cells.append(None)
+                    else:
+                        cells.append(shared[int(v.text)] if c.get("t") == "s" else v.text)
+                row.clear()
+                yield cells
 
 
 def read_workbook(spark: SparkSession, path: str) -> DataFrame:
-    """An .xlsx file or a folder of them."""
-    spark.dataSource.register(WorkbookSource)
-    return spark.read.format("workbook").load(path)
+    """First sheets of an .xlsx file or a folder of them, wherever Hadoop can read them: the first row
+    of the first file gives the columns, all of them strings; repeated and empty names get numbers."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
+    first = files.orderBy("path").select("content").limit(1).collect()
+    header = next(_sheet_rows(first[0]["content"]), []) if first else []
+    names: list[str] = []
+    for i, h in enumerate(header):
+        name = (h or f"column_{i}").replace("`", "")
+        names.append(name if name.lower() not in {x.lower() for x in names} else f"{name}_{i}")
+    width = len(names)
+
+    def rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            for content in frame.column(0):
+                sheet = itertools.islice(_sheet_rows(content.as_py()), 1, None)
+                while part := list(itertools.islice(sheet, 5000)):
+                    cells = list(zip(*[(r + [None] * width)[:width] for r in part]))
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in cells], names=names)
+
+    if not names:
+        return spark.createDataFrame([], "value string").drop("value")
+    return files.select("content").mapInArrow(rows, ", ".join(f"`{n}` string" for n in names))
 
 
 def read_any(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
