@@ -663,7 +663,8 @@ def tied_names(profiles: dict[str, dict[str, float]], together: dict[str, set[st
 
 
 def _together(fields: DataFrame, names: list[str]) -> dict[str, set[str]]:
-    """For each name those that some file holds beside it: one bit row for each name and task."""
+    """For each name those that some file holds beside it: one row of bits for each name and task,
+    joined by name before they reach the driver."""
     at = fields.sparkSession.sparkContext.broadcast({n: i for i, n in enumerate(names)})
     size = len(names)
 
@@ -678,8 +679,11 @@ def _together(fields: DataFrame, names: list[str]) -> dict[str, set[str]]:
             [pa.array(rows.astype(np.int32)), pa.array([np.packbits(seen[i]).tobytes() for i in rows], pa.binary())], names=["i", "bits"]
         )
 
+    def join(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"i": [key[0]], "bits": [np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in rows["bits"]]).tobytes()]})
+
     sets = fields.groupBy("file_id").agg(F.collect_set("name").alias("own")).select("own")
-    found = sets.mapInArrow(pairs, "i int, bits binary").distinct().collect()  # bits of names, by name
+    found = sets.mapInArrow(pairs, "i int, bits binary").groupBy("i").applyInPandas(join, "i int, bits binary").collect()  # a row for each name
     out: dict[str, set[str]] = {n: set() for n in names}
     for r in found:
         bits = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=size)
@@ -718,7 +722,9 @@ def steady_names(order: DataFrame, changes: DataFrame, profiles: DataFrame, ever
     steady = materialised(rows.join(moving, "file_id").groupBy("feed").applyInPandas(name, "file_id long, field string, steady string"))
     named = profiles.join(bounded_broadcast(steady), ["file_id", "field"], "left").select("file_id", F.coalesce("steady", "field").alias("name"))
     names = sorted(used)
-    distinct = {(r["old"], r["new"]) for r in renames.select("old", "new").distinct().limit(max_names * 10).collect()}
+    distinct = {(r["old"], r["new"]) for r in renames.select("old", "new").distinct().limit(max_names * 10 + 1).collect()}
+    if len(distinct) > max_names * 10:
+        raise ValueError(f"more than {max_names * 10} pairs of names")
     ties = tied_names(everywhere, _together(named, names), distinct, prefer=prefer)
     reading = {k: F.sum(F.coalesce(F.element_at("profile", k), F.lit(0.0))).alias(k.replace(":", "_")) for k in [f"t:{t}" for t in TYPES] + ["v:boolean", "v:integer", "v:number", _PLAIN]}
     sums = profiles.join(bounded_broadcast(steady), ["file_id", "field"], "left").groupBy(F.coalesce("steady", "field").alias("name")).agg(*reading.values()).collect()
