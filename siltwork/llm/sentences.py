@@ -47,7 +47,7 @@ def _script(c: str) -> str:
     return str(o >> 7)
 
 
-@dataclass
+@dataclass(slots=True)
 class Candidate:
     """A place (``end``) where a sentence of a line may end."""
 
@@ -292,8 +292,9 @@ class Model:
 
     def __init__(self) -> None:
         self.weights = np.zeros(1 << _BITS)
-        #: Weights by name, as they are asked for.
+        #: Weights by name, and decisions by candidate, as they are asked for.
         self.known: dict[str, float] = {}
+        self.decided: dict[tuple, bool] = {}
 
     def fit(self, rows: list[list[int]], labels: list[int], rounds: int = 150, rate: float = 0.5, decay: float = 1e-6) -> Model:
         """Full-batch gradient steps with a rate for each weight; equal rows count by number."""
@@ -312,6 +313,16 @@ class Model:
             self.weights -= rate * g / np.sqrt(seen)
         return self
 
+    def decides(self, c: Candidate, cased: bool) -> bool:
+        """Whether a candidate is a boundary; words in the same company are met again and again."""
+        key = (c.mark, c.before, c.earlier, c.after, c.closer, c.spaced, cased)
+        found = self.decided.get(key)
+        if found is None:
+            if len(self.decided) > 200_000:
+                self.decided.clear()
+            found = self.decided[key] = self.is_boundary(feature_names(c, cased))
+        return found
+
     def is_boundary(self, names: list[str]) -> bool:
         """Whether the features speak for a boundary."""
         known, total = self.known, 0.0
@@ -363,7 +374,7 @@ def split_sentences(text: str | None, model: Model) -> list[tuple[int, int]]:
         end = m.start() if m else len(text)
         line = text[begin:end]
         if line.strip():
-            cuts = {c.end for c in candidates(line) if model.is_boundary(feature_names(c, not lower))}
+            cuts = {c.end for c in candidates(line) if model.decides(c, not lower)}
             if _THAI.search(line):
                 for s in _SPACES.finditer(line):
                     left, right = line[s.start() - 1 : s.start()], line[s.end() : s.end() + 1]
