@@ -138,3 +138,27 @@ def queue_order(df: DataFrame, n: int, *, confidence: str = "confidence", create
     the feature)."""
     rank = F.array_position(F.array(*[F.lit(x) for x in ("critical", "high", "medium", "low")]), priority_of(F.col(confidence)))
     return df.where("status = 'pending'").orderBy(rank, F.asc_nulls_last(confidence), F.asc_nulls_last(created), id_col).limit(n)
+
+
+def corrections_by_domain(counts: DataFrame) -> DataFrame:
+    """``predicted``, ``n``, ``corrections``, ``rate`` of each predicted label, from ``feedback_statistics``."""
+    changed = F.when(F.col("predicted") != F.col("corrected"), F.col("n")).otherwise(0)
+    out = counts.groupBy("predicted").agg(F.sum("n").alias("n"), F.sum(changed).alias("corrections"))
+    return out.withColumn("rate", F.try_divide("corrections", "n"))
+
+
+def top_corrections(counts: DataFrame, k: int = 10) -> DataFrame:
+    """The ``k`` most frequent pairs of predicted and corrected label (a report)."""
+    return counts.where("predicted <> corrected").orderBy(F.desc("n"), "predicted", "corrected").limit(k).select("predicted", "corrected", "n")
+
+
+def active_users(df: DataFrame, *, user: Column, at: Column, as_of: datetime.datetime, hours: int = 24) -> DataFrame:
+    """``user``, ``n``, ``last`` of users with a message in the last hours; the others' contexts may go."""
+    per = df.select(user.alias("user"), at.alias("at")).where("user IS NOT NULL").groupBy("user").agg(F.count("*").alias("n"), F.max("at").alias("last"))
+    return per.where(F.col("last") > F.lit(as_of - datetime.timedelta(hours=hours)))
+
+
+def top_preferences(weights: DataFrame, k: int = 5) -> DataFrame:
+    """The ``k`` domains of most weight summed over users (a report)."""
+    sums = weights.groupBy("domain").agg(F.sum("weight").alias("weight"))
+    return sums.orderBy(F.desc(F.round("weight", 6)), "domain").limit(k)

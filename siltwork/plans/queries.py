@@ -339,6 +339,47 @@ def queue_next(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feedback.queue_order(df, 25).select("review_id", feedback.priority_of(F.col("confidence")).alias("priority"))
 
 
+def etl_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of raw orders that are no field of their own, packed into metadata: entries by key."""
+    raw = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_orderpriority").alias("Priority "), F.col("o_custkey").alias(" cid"), F.nullif("o_orderstatus", F.lit("P")).alias("STATUS"))
+    raw = etl.normalise_headers(raw)
+    rows = raw.select(F.explode(etl.extract_metadata(raw, ("row_id",))).alias("key", "value"))
+    return rows.groupBy("key").agg(F.count("*").alias("n"), F.countDistinct("value").alias("n_values"))
+
+
+def balanced_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a balanced data set whose domains are cut at 200 rows, by domain and copy."""
+    out = dataset.balance(_fit(spark, sf_dir), id_col="result_id", config=WriterConfig(max_per_domain=200))
+    return out.groupBy("domain", F.col("copy").cast("long").alias("copy")).agg(F.count("*").alias("n"), F.sum("result_id").alias("ids"))
+
+
+def review_queue_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uncertain results for which a queue of 1500 items has room (the room is the feature)."""
+    queued = table(spark, sf_dir, "review_item").select("text").where("text IS NOT NULL").distinct()
+    rows = _results(spark, sf_dir).select("result_id", "text", "conf")
+    return feedback.review_batch(rows, queued, confidence="conf", id_col="result_id", capacity=1500).select("result_id", "conf", "item")
+
+
+def feedback_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corrections of each predicted label."""
+    return feedback.corrections_by_domain(_counts(spark, sf_dir))
+
+
+def feedback_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most frequent corrections."""
+    return feedback.top_corrections(_counts(spark, sf_dir))
+
+
+def context_active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users active in the last two days of January."""
+    return feedback.active_users(table(spark, sf_dir, "events"), user=F.col("user_id"), at=F.col("ts"), as_of=datetime.datetime(2024, 1, 30), hours=48)
+
+
+def context_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of events that users prefer in all."""
+    return feedback.top_preferences(_preferences(spark, sf_dir)).select("domain", F.round("weight", 6).alias("weight"))
+
+
 def answer_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels and confidence of results with defaults for what is missing."""
     d = model_calls.answer_defaults((F.col("domain_id"), F.col("domain_true")), (F.col("confidence"), F.col("top_candidates")[0]["score"]))
@@ -501,7 +542,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
     for q in (
         p2_found, p2_table, p7_found, etl_records, etl_statistics, etl_columns, etl_metadata, etl_domain_distribution, labels_normalised, labels_stop_words, labels_soft, labels_rules, labels_override, low_confidence, consensus_labels, ensemble_labels, calibration_table, calibrated, confidence_summary, confusions, quality_filter, balanced_rows, stratified_split, dataset_statistics, dataset_score, source_distribution, output_rows, sharded_rows, levenshtein_pairs, term_statistics, tfidf_norms, pair_cosine, quality_gate, near_duplicates, review_batch, reviewed_export, feedback_statistics, feedback_retrain, feedback_warnings, feedback_examples, context_last, context_preferences, context_statistics, cache_lookup, scan_recent, scan_between, version_tags, metadata_difference, union_all, label_accuracy, validation_rates, problem_items, cache_statistics, feedback_prompts, context_preferred, context_prompts,
-        synthetic_gate, synthetic_relabelled, gate_statistics, valid_rows, augmentation_seeds, dataset_distributions, labeler_rates, augmenter_rates, cache_keys, cache_merge, queue_statistics, queue_next, answer_defaults,
+        synthetic_gate, synthetic_relabelled, gate_statistics, valid_rows, augmentation_seeds, dataset_distributions, labeler_rates, augmenter_rates, cache_keys, cache_merge, queue_statistics, queue_next, answer_defaults, etl_packed, balanced_capped, review_queue_full, feedback_domains, feedback_top, context_active, context_top,
     )
 }
 

@@ -124,6 +124,22 @@ SQL: dict[str, str] = {
     "gate_statistics": f"""WITH RECURSIVE {_GATE}, c AS (SELECT count(*) AS total, count(*) FILTER (ok AND found = domain) AS passed, count(*) FILTER (ok AND found <> domain) AS relabelled,
             count(*) FILTER (cosine < 0.3) AS low_similarity, count(*) FILTER (cosine > 0.95) AS high_similarity, count(*) FILTER (ratio > 0.8) AS many_changes FROM gate)
         SELECT *, passed / total AS pass_rate, relabelled / total AS relabel_rate FROM c""",
+    "etl_packed": """SELECT 'priority' AS key, count(o_orderpriority) AS n, count(DISTINCT o_orderpriority) AS n_values FROM orders
+        UNION ALL SELECT 'status', count(nullif(o_orderstatus, 'P')), count(DISTINCT nullif(o_orderstatus, 'P')) FROM orders""",
+    "balanced_capped": f"""WITH {_FIT}, x AS ({_ITEMS}), r AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY o, result_id) AS rn, count(*) OVER (PARTITION BY domain) AS n FROM x),
+        t AS (SELECT least(200, sum(n) // count(*)) AS target FROM (SELECT domain, count(*) AS n FROM fit GROUP BY domain)),
+        g AS (SELECT *, CASE WHEN n < 5 THEN n ELSE target END AS goal FROM r, t),
+        c AS (SELECT result_id, domain, unnest(range(1, ((goal - rn) // n + 2)::BIGINT)) AS copy FROM g WHERE rn <= goal)
+        SELECT domain, copy, count(*) AS n, sum(result_id)::BIGINT AS ids FROM c GROUP BY 1, 2""",
+    "review_queue_full": f"""WITH {_RES}, one AS (SELECT text, min({{'c': conf, 'r': result_id}}) AS m FROM res
+            WHERE conf < 0.5 AND text IS NOT NULL AND text NOT IN (SELECT text FROM review_item WHERE text IS NOT NULL) GROUP BY text),
+        k AS (SELECT m.r AS result_id, m.c AS conf, left(md5(text), 16) AS item, row_number() OVER (ORDER BY m.c, m.r) AS place FROM one)
+        SELECT result_id, conf, item FROM k WHERE place <= 1500 - (SELECT count(DISTINCT text) FROM review_item WHERE text IS NOT NULL)""",
+    "feedback_domains": f"""WITH {_OPINIONS}, d AS (SELECT predicted, sum(n)::BIGINT AS n, coalesce(sum(n) FILTER (predicted <> corrected), 0)::BIGINT AS corrections FROM counts GROUP BY 1)
+        SELECT *, corrections / n AS rate FROM d""",
+    "feedback_top": f"WITH {_OPINIONS} SELECT predicted, corrected, n FROM counts WHERE predicted <> corrected ORDER BY n DESC, predicted, corrected LIMIT 10",
+    "context_active": """SELECT user_id AS user, count(*) AS n, max(ts) AS last FROM events WHERE user_id IS NOT NULL GROUP BY user_id HAVING max(ts) > TIMESTAMP '2024-01-28'""",
+    "context_top": "WITH p AS ({}) SELECT domain, round(sum(weight), 6) AS weight FROM p GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5",
     "valid_rows": "SELECT final_domain, count(*) AS n FROM validation_result WHERE is_valid IS NOT FALSE GROUP BY 1",
     "augmentation_seeds": """WITH s AS (SELECT result_id, coalesce(nullif(domain_true, ''), nullif(domain_id, '')) AS domain FROM classification_result WHERE text <> '')
         SELECT result_id, domain, row_number() OVER (PARTITION BY domain ORDER BY result_id)::INT AS turn FROM s WHERE domain <> 'unknown' QUALIFY turn <= 30""",
@@ -286,5 +302,5 @@ SQL: dict[str, str] = {
         SELECT d."user", coalesce(recent, '') AS recent, domains FROM d LEFT JOIN r USING ("user")""",
 }
 SQL["feedback_prompts"] = SQL["feedback_prompts"].format(SQL["feedback_examples"])
-for _name in ("context_preferred", "context_prompts"):
+for _name in ("context_preferred", "context_prompts", "context_top"):
     SQL[_name] = SQL[_name].format(SQL["context_preferences"].replace("round(sum(", "(sum(").replace(", 6) AS weight", ") AS weight"))
