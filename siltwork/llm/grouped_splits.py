@@ -10,6 +10,7 @@ hash, and components go to splits in hash order.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,6 +21,7 @@ from siltwork.functions.text import collapse_ws, strip_ws
 from siltwork.session import bounded_broadcast, checkpointed
 
 _MAX_LEVELS = 60
+_BINS = 4096
 
 
 def user_key(c: Column) -> Column:
@@ -169,7 +171,8 @@ def grouped_split(
     ``labels`` has ``row_id`` and ``label`` (one row for a record; absent ones count as none).
     Groups with more than one in ``heavy_share`` of all records, of which there can be at most
     ``heavy_share``, are placed first, largest first, each where it keeps the class mix closest
-    to the proportions. The rest, in hash order, fill what is left of every split.
+    to the proportions. The rest, in hash order, fill what is left of every split, exact to about
+    one in 4096 rows or a group.
 
     Cases: a record that nothing ties is a group of its own; null ids and repeated rows are kept;
     an empty table gives an empty table; proportions must be positive and are scaled to sum 1.
@@ -211,14 +214,17 @@ def grouped_split(
         placed[row["group"]] = best
         have[best] = [h + row[c] for h, c in zip(have[best], cols)]
     left = [max(0.0, share[k] * whole[0] - have[k][0]) for k in names]
-    room, at, bounds = sum(left) or 1.0, 0.0, []
-    for k, x in zip(names, left):
-        at += x / room
-        bounds.append((at, k))
+    # The light groups in hash order, cut where the counts reach what is left of each split: exact
+    # to one of `_BINS` stretches of the order, whose counts are all that reaches the driver.
     unit = F.conv(F.substring("group", 1, 12), 16, 10).cast("double") / float(16**12)
-    light = F.lit(names[-1])
-    for bound, k in reversed(bounds[:-1]):
-        light = F.when(unit < bound, k).otherwise(light)
+    light_sizes = sizes.where(F.col("n") <= max(1, whole[0] // heavy_share))
+    found = {r["bin"]: r["n"] for r in light_sizes.groupBy(F.floor(unit * _BINS).cast("int").alias("bin")).agg(F.sum("n").alias("n")).collect()}
+    reached = list(itertools.accumulate((found.get(i, 0) for i in range(_BINS)), initial=0))
+    room, at, light = sum(left) or 1.0, 1.0, F.lit(names[-1])
+    for k, x in zip(reversed(names[:-1]), reversed(left[1:])):
+        at -= x / room
+        edge = min(range(_BINS + 1), key=lambda i: (abs(reached[i] - at * reached[-1]), i))  # noqa: B023
+        light = F.when(unit < edge / _BINS, k).otherwise(light)
     if placed:
         given = rec.sparkSession.createDataFrame(list(placed.items()), "group string, placed string")  # at most heavy_share rows
         rec = rec.join(F.broadcast(given), "group", "left")

