@@ -100,3 +100,16 @@ def etl_statistics(df: DataFrame, *, row_id: str = "row_id", config: EtlConfig =
         F.coalesce(F.sum(F.when(F.col("t").isNull(), F.col("n"))), F.lit(0)).alias("filtered"),
         F.coalesce(F.sum(F.when(F.col("t").isNotNull(), F.col("n") - 1)), F.lit(0)).alias("duplicates"),
     )
+
+
+def is_object_text(c: Column) -> Column:
+    """Whether a text is one readable JSON object; null and broken texts are none."""
+    return F.coalesce(F.schema_of_variant(F.try_parse_json(c)).startswith("OBJECT"), F.lit(False))
+
+
+def ingest_errors(lines: DataFrame, *, payload: str = "payload", file_id: str = "file_id") -> DataFrame:
+    """``file_id``, ``n_lines``, ``n_errors``: lines of each file, and those that can't be read. Blank
+    lines are skipped, not counted; lines without file count together."""
+    text = F.col(f"`{payload}`")
+    rows = lines.where(F.coalesce(F.trim(text) != "", F.lit(False)))
+    return rows.groupBy(F.col(f"`{file_id}`").alias("file_id")).agg(F.count("*").alias("n_lines"), F.count_if(~is_object_text(text)).alias("n_errors"))

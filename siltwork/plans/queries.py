@@ -339,6 +339,11 @@ def queue_next(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feedback.queue_order(df, 25).select("review_id", feedback.priority_of(F.col("confidence")).alias("priority"))
 
 
+def ingest_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each raw file, and how many of them can't be read."""
+    return etl.ingest_errors(table(spark, sf_dir, "raw_line"))
+
+
 def etl_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns of raw orders that are no field of their own, packed into metadata: entries by key."""
     raw = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_orderpriority").alias("Priority "), F.col("o_custkey").alias(" cid"), F.nullif("o_orderstatus", F.lit("P")).alias("STATUS"))
@@ -541,8 +546,15 @@ def context_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
     for q in (
-        p2_found, p2_table, p7_found, etl_records, etl_statistics, etl_columns, etl_metadata, etl_domain_distribution, labels_normalised, labels_stop_words, labels_soft, labels_rules, labels_override, low_confidence, consensus_labels, ensemble_labels, calibration_table, calibrated, confidence_summary, confusions, quality_filter, balanced_rows, stratified_split, dataset_statistics, dataset_score, source_distribution, output_rows, sharded_rows, levenshtein_pairs, term_statistics, tfidf_norms, pair_cosine, quality_gate, near_duplicates, review_batch, reviewed_export, feedback_statistics, feedback_retrain, feedback_warnings, feedback_examples, context_last, context_preferences, context_statistics, cache_lookup, scan_recent, scan_between, version_tags, metadata_difference, union_all, label_accuracy, validation_rates, problem_items, cache_statistics, feedback_prompts, context_preferred, context_prompts,
-        synthetic_gate, synthetic_relabelled, gate_statistics, valid_rows, augmentation_seeds, dataset_distributions, labeler_rates, augmenter_rates, cache_keys, cache_merge, queue_statistics, queue_next, answer_defaults, etl_packed, balanced_capped, review_queue_full, feedback_domains, feedback_top, context_active, context_top,
+        p2_found, p2_table, p7_found, etl_records, etl_statistics, etl_columns, etl_metadata, etl_domain_distribution, labels_normalised,
+        labels_stop_words, labels_soft, labels_rules, labels_override, low_confidence, consensus_labels, ensemble_labels, calibration_table,
+        calibrated, confidence_summary, confusions, quality_filter, balanced_rows, stratified_split, dataset_statistics, dataset_score,
+        source_distribution, output_rows, sharded_rows, levenshtein_pairs, term_statistics, tfidf_norms, pair_cosine, quality_gate, near_duplicates,
+        review_batch, reviewed_export, feedback_statistics, feedback_retrain, feedback_warnings, feedback_examples, context_last, context_preferences,
+        context_statistics, cache_lookup, scan_recent, scan_between, version_tags, metadata_difference, union_all, label_accuracy, validation_rates,
+        problem_items, cache_statistics, feedback_prompts, context_preferred, context_prompts, synthetic_gate, synthetic_relabelled, gate_statistics,
+        valid_rows, augmentation_seeds, dataset_distributions, labeler_rates, augmenter_rates, cache_keys, cache_merge, queue_statistics, queue_next,
+        answer_defaults, ingest_errors, etl_packed, balanced_capped, review_queue_full, feedback_domains, feedback_top, context_active, context_top,
     )
 }
 

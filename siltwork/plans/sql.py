@@ -124,6 +124,8 @@ SQL: dict[str, str] = {
     "gate_statistics": f"""WITH RECURSIVE {_GATE}, c AS (SELECT count(*) AS total, count(*) FILTER (ok AND found = domain) AS passed, count(*) FILTER (ok AND found <> domain) AS relabelled,
             count(*) FILTER (cosine < 0.3) AS low_similarity, count(*) FILTER (cosine > 0.95) AS high_similarity, count(*) FILTER (ratio > 0.8) AS many_changes FROM gate)
         SELECT *, passed / total AS pass_rate, relabelled / total AS relabel_rate FROM c""",
+    "ingest_errors": """SELECT file_id, count(*) AS n_lines, count(*) FILTER (NOT (json_valid(payload) AND json_type(try_cast(payload AS JSON)) = 'OBJECT')) AS n_errors
+        FROM raw_line WHERE trim(payload) <> '' GROUP BY 1""",
     "etl_packed": """SELECT 'priority' AS key, count(o_orderpriority) AS n, count(DISTINCT o_orderpriority) AS n_values FROM orders
         UNION ALL SELECT 'status', count(nullif(o_orderstatus, 'P')), count(DISTINCT nullif(o_orderstatus, 'P')) FROM orders""",
     "balanced_capped": f"""WITH {_FIT}, x AS ({_ITEMS}), r AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY o, result_id) AS rn, count(*) OVER (PARTITION BY domain) AS n FROM x),

@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from siltwork.operators import dataset, feedback, model_calls, similarity
+from siltwork.operators import dataset, etl, feedback, model_calls, similarity
 from siltwork.operators.versions import VersionStore
 from siltwork.sources import readers, sinks
 
@@ -78,6 +78,22 @@ def test_versions_have_status_names_and_bytes(spark, tmp_path):
         store.set_status("v9.9.9", "active", as_of=T)
 
 
+def test_lines_that_cant_be_read_are_counted(spark):
+    rows = [(1, '{"a": 1}'), (1, '{"a": 1'), (1, "[1]"), (1, " "), (2, None), (2, '{"b": {"c": [1, null]}}'), (None, "x")]
+    got = {r["file_id"]: (r["n_lines"], r["n_errors"]) for r in etl.ingest_errors(spark.createDataFrame(rows, "file_id long, payload string")).collect()}
+    assert got == {1: (3, 2), 2: (1, 0), None: (1, 1)}
+
+
+def test_reports(spark):
+    counts = spark.createDataFrame([("a", "a", 5, 1), ("a", "b", 3, 0), ("b", "a", 4, 2), ("c", "c", 1, 0)], "predicted string, corrected string, n long, recent long")
+    assert {(r["predicted"], r["n"], r["corrections"]) for r in feedback.corrections_by_domain(counts).collect()} == {("a", 8, 3), ("b", 4, 4), ("c", 1, 0)}
+    assert [(r["predicted"], r["n"]) for r in feedback.top_corrections(counts, 1).collect()] == [("b", 4)]
+    m = spark.createDataFrame([("u", T), ("u", T - datetime.timedelta(days=3)), ("v", T - datetime.timedelta(days=2)), (None, T)], "user string, at timestamp")
+    assert [(r["user"], r["n"]) for r in feedback.active_users(m, user=F.col("user"), at=F.col("at"), as_of=T + datetime.timedelta(hours=1)).collect()] == [("u", 2)]
+    w = spark.createDataFrame([("u", "x", 0.5), ("v", "x", 0.25), ("v", "y", 0.6)], "user string, domain string, weight double")
+    assert [r["domain"] for r in feedback.top_preferences(w, 1).collect()] == ["x"]
+
+
 def test_sinks(spark, tmp_path):
     df = spark.range(25).select("id", (F.col("id") % 3).cast("string").alias("domain"))
     sinks.write_sharded(df, str(tmp_path / "parts"), rows=10, order="id", whole=str(tmp_path / "whole"))
