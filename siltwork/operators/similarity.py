@@ -38,8 +38,9 @@ def tfidf(counts: DataFrame, n_docs: int, vocab: DataFrame) -> DataFrame:
     """``id``, ``term``, ``weight``: tf times smoothed idf, of length one for each text."""
     idf = vocab.select("term", (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
     raw = counts.join(bounded_broadcast(idf), "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("weight"))
+    # The terms of one text come together once, for its length; no second shuffle brings it back.
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("id")))
+    return raw.select("id", "term", (F.col("w") / norm).alias("weight"))
 
 
 def pair_cosine(pairs: DataFrame, *, id_col: str = "id", a: str = "a", b: str = "b", corpus: DataFrame | None = None, corpus_text: str = "text") -> DataFrame:

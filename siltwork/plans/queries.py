@@ -17,7 +17,7 @@ from siltwork.operators.model_calls import cache_statistics as model_cache_stati
 from siltwork.operators.schema_drift import schema_changes, unified_records
 from siltwork.operators.timestamps import normalise_timestamps
 from siltwork.plans.sql import SQL  # noqa: F401 - part of the interface
-from siltwork.session import table
+from siltwork.session import materialised, table
 from siltwork.sources import readers, sinks
 
 AS_OF = datetime.datetime(2024, 12, 31)
@@ -233,7 +233,7 @@ def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tfidf_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of terms and heaviest weight of each document's vector."""
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    counts = similarity.term_counts(docs, "doc_id", "text")
+    counts = materialised(similarity.term_counts(docs, "doc_id", "text"))  # texts are taken apart once
     w = similarity.tfidf(counts, docs.count(), similarity.vocabulary(counts))
     return w.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("n_terms"), F.round(F.max("weight"), 6).alias("top"))
 
