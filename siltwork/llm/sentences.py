@@ -32,7 +32,6 @@ _BRACKETS = set(")）]】")
 _LIST_NUMBER = re.compile(r"\s*(?:\(?\d{1,3}|[^\W\d_])[.)]$")
 _THAI = re.compile(r"[฀-๿]")
 _SPACES = re.compile(r"\s+")
-_RUN = re.compile(r"\S+")
 _BITS = 16
 
 
@@ -92,28 +91,48 @@ def _pairs(line: str) -> tuple[list[int], list[int]]:
 WORD = 40
 
 
-def _word_before(line: str, at: int, start: int) -> tuple[int, str]:
-    """The word that ends at ``at`` in a run without white space from ``start`` on, without opening
-    marks; its start."""
-    i = max(start, at - WORD)
-    if at and _script(line[at - 1]) == "H":
-        i = max(i, at - 2)
+def _word_before(line: str, at: int) -> tuple[int, str]:
+    """The run without white space that ends at ``at``, without opening marks; its start."""
+    near = line[max(0, at - WORD) : at]
+    if not near or near[-1].isspace():
+        return at, ""
+    i = at - min(len(near.rsplit(None, 1)[-1]), 2 if _script(near[-1]) == "H" else WORD)
     return i, line[i:at].lstrip("«“„(\"'¿¡（「『[")
 
 
+def _back(line: str, at: int) -> int:
+    """The end of the last visible character before ``at``, 0 if there is none."""
+    while at > 0:
+        near = line[max(0, at - 64) : at]
+        seen = len(near.rstrip())
+        at -= len(near) - seen
+        if seen:
+            break
+    return at
+
+
+def _on(line: str, at: int) -> int:
+    """The place of the first visible character from ``at`` on."""
+    while at < len(line):
+        near = line[at : at + 64]
+        seen = len(near.lstrip())
+        at += len(near) - seen
+        if seen:
+            break
+    return at
+
+
 def candidates(line: str) -> list[Candidate]:
     """Places within a line (its end apart) where a sentence may end."""
     out: list[Candidate] = []
     n, full = len(line), len(line.rstrip())
     lead = n - len(line.lstrip())
     pairs: tuple[list[int], list[int]] | None = None
-    runs: list[int] = []  # where runs without white space begin and end, in turn
     for m in _MARKS.finditer(line):
         a, e = m.span()
         closer = ""
         if pairs is None:
             pairs = _pairs(line)
-            runs = [x for r in _RUN.finditer(line) for x in r.span()]
         at = bisect.bisect_left(pairs[0], a) - 1
         last = pairs[1][at] if at >= 0 and a < pairs[1][at] else -1
         while e < n and line[e] in _CLOSERS and (last < 0 or e <= last):
@@ -131,16 +150,9 @@ def candidates(line: str) -> list[Candidate]:
                     continue
         if e - lead <= 5 and _LIST_NUMBER.fullmatch(line[lead:e]):
             continue
-        run = bisect.bisect_left(runs, a)  # odd: within the run that begins at runs[run - 1], or at its end
-        begin, before = _word_before(line, a, runs[run - 1]) if run % 2 else (a, "")
-        if run % 2 and begin > runs[run - 1]:
-            earlier = _word_before(line, begin, runs[run - 1])[1]
-        else:
-            prev = run - 1 if run % 2 else run
-            earlier = _word_before(line, runs[prev - 1], runs[prev - 2])[1] if prev else ""
-        k = e
-        if spaced:
-            k = runs[bisect.bisect_left(runs, e + 1)]
+        begin, before = _word_before(line, a)
+        earlier = _word_before(line, _back(line, begin))[1]
+        k = _on(line, e) if spaced else e
         rest = line[k : k + WORD]
         word = rest[:2] if _script(rest[:1] or " ") == "H" else _SPACES.split(rest, maxsplit=1)[0]
         out.append(Candidate(mark, e, before, earlier, word, closer, spaced))
