@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import functools
+import operator
 import os
 import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def local_session(cpus: int = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -74,14 +77,26 @@ def materialised(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """``df`` with a broadcast hint if it is proven to hold at most ``max_rows`` rows.
+def _width(field: T.StructField) -> Column:
+    """About how many bytes a value takes."""
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0))
+    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        return F.coalesce(F.octet_length(F.to_json(c)), F.lit(0))
+    return F.lit(8)
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = 100_000, max_bytes: int = 128 << 20) -> DataFrame:
+    """``df`` with a broadcast hint if it is proven to hold at most ``max_rows`` rows and ``max_bytes``
+    bytes.
 
     The count stops after ``max_rows + 1`` rows. A larger side comes back without a hint, so
     that the join shuffles (AQE splits skewed partitions).
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    width = functools.reduce(operator.add, [_width(f) for f in df.schema.fields], F.lit(0)).cast("long")
+    n, size = df.limit(max_rows + 1).select(width.alias("w")).agg(F.count("*"), F.sum("w")).first()
+    return F.broadcast(df) if n <= max_rows and (size or 0) <= max_bytes else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
