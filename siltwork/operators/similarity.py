@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltwork.config import QualityConfig
-from siltwork.session import bounded_broadcast, checkpointed
+from siltwork.operators.near_pairs import near_pairs
+from siltwork.session import bounded_broadcast, materialised
 
 
 def levenshtein_ratio(a: Column, b: Column) -> Column:
@@ -16,11 +17,16 @@ def levenshtein_ratio(a: Column, b: Column) -> Column:
     return F.when(longest == 0, F.lit(0.0)).otherwise(F.levenshtein(a, b) / longest)
 
 
+def words(text: Column) -> Column:
+    """Words of two or more letters, digits or underscores in lower case."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+
+
 def terms(text: Column) -> Column:
-    """Words of two or more letters, digits or underscores in lower case, and pairs of neighbours."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
-    pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda x, y: F.concat(x, F.lit(" "), y))
-    return F.when(F.size(words) < 2, words).otherwise(F.concat(words, pairs))
+    """The words of a text, and pairs of neighbours."""
+    own = words(text)
+    pairs = F.zip_with(F.slice(own, F.lit(1), F.greatest(F.size(own) - 1, F.lit(0))), F.slice(own, F.lit(2), F.greatest(F.size(own) - 1, F.lit(0))), lambda x, y: F.concat(x, F.lit(" "), y))
+    return F.when(F.size(own) < 2, own).otherwise(F.concat(own, pairs))
 
 
 def term_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -116,33 +122,13 @@ def duplicate_links(df: DataFrame, *, id_col: str, text_col: str, threshold: flo
     """(``t``, ``class_id``, ``copies`` of every distinct text; ``a``, ``b`` of every two classes
     whose TF-IDF cosine is at least ``threshold``).
 
-    Vectors are fitted on all distinct texts with all their terms. A text's terms are taken from
-    the rarest on until the rest can no longer reach the threshold (prefix filter): two texts that
-    do share a prefix term. Of pairs that share some, those stay whose common prefix and what is
-    left of both lengths can still reach it; these are verified on whole vectors. Links are
-    between classes, so copies of a text cost nothing. Texts without terms link to nothing; null
-    texts are in no class; an empty table gives two empty tables.
+    Vectors are fitted on all distinct texts with all their terms; ``near_pairs`` finds the pairs.
+    Links are between classes, so copies of a text cost nothing. Texts without terms link to
+    nothing; null texts are in no class; an empty table gives two empty tables.
     """
     base = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t")).where("t IS NOT NULL")
-    classes = checkpointed(base.groupBy("t").agg(F.min("id").alias("class_id"), F.count("*").alias("copies")))
-    counts = checkpointed(term_counts(classes, "class_id", "t"))
-    n = counts.select("id").distinct().count()
-    vocab = vocabulary(counts, None)
-    weights = checkpointed(tfidf(counts, n, vocab).join(vocab.select("term", "df"), "term"))
-    rest = F.sum(F.col("weight") * F.col("weight")).over(W.partitionBy("id").orderBy(F.desc("df"), "term"))
-    # Terms whose remaining suffix (from the most frequent) weighs less than the threshold allows
-    # for are outside of the prefix.
-    prefix = weights.withColumn("suffix", rest).where(F.col("suffix") >= threshold * threshold - 1e-9)
-    # A term shared by all is no prefix term unless a text has nothing rarer, so posting lists are short.
-    left = prefix.where("df > 1").select(F.col("id").alias("a"), "term", F.col("weight").alias("wa"))
-    met = left.join(left.withColumnsRenamed({"a": "b", "wa": "wb"}), "term").where("a < b")
-    common = met.groupBy("a", "b").agg(*[F.sum(F.col(x) * F.col(y)).alias(x + y) for x, y in (("wa", "wb"), ("wa", "wa"), ("wb", "wb"))])
-    left_over = lambda c: F.greatest(F.lit(0.0), 1 - F.col(c))
-    cand = common.where(F.col("wawb") + F.sqrt(left_over("wawa") * left_over("wbwb")) >= threshold - 1e-9).select("a", "b")
-    wa = weights.select(F.col("id").alias("a"), "term", F.col("weight").alias("wa"))
-    wb = weights.select(F.col("id").alias("b"), "term", F.col("weight").alias("wb"))
-    links = cand.join(wa, "a").join(wb, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cos")).where(F.col("cos") >= threshold - 1e-9)
-    return classes, checkpointed(links.select("a", "b"))
+    classes = materialised(base.groupBy("t").agg(F.min("id").alias("class_id"), F.count("*").alias("copies")))
+    return classes, near_pairs(classes.select(F.col("class_id").alias("id"), words(F.col("t")).alias("words")), threshold=threshold)
 
 
 def near_duplicates(df: DataFrame, *, id_col: str, text_col: str, threshold: float = 0.95) -> DataFrame:
@@ -151,7 +137,10 @@ def near_duplicates(df: DataFrame, *, id_col: str, text_col: str, threshold: flo
     classes, links = duplicate_links(df, id_col=id_col, text_col=text_col, threshold=threshold)
     base = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t")).where("t IS NOT NULL")
     ends = links.select(F.col("a").alias("class_id")).unionAll(links.select(F.col("b").alias("class_id"))).groupBy("class_id").agg(F.count("*").alias("n_links"))
-    return base.join(classes, "t").join(ends, "class_id", "left").select("id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    # Texts meet their class by digest, so that they aren't shuffled again.
+    digest = F.unhex(F.sha2("t", 256)).alias("digest")
+    linked = classes.select("class_id", digest).join(ends, "class_id", "left")
+    return base.select("id", digest).join(linked, "digest").select("id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def duplicate_share(df: DataFrame, *, id_col: str, text_col: str, threshold: float = 0.95) -> DataFrame:
