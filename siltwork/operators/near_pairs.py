@@ -25,7 +25,7 @@ from siltwork.session import bounded_broadcast, checkpointed, materialised
 _PART_WORDS = 250_000  # words that are looked at together
 _PART_ROWS = 20_000  # postings that are compared together, if no list is longer
 _PART_CELLS = 4_000_000  # numbers of a block of products
-_PART_PAIRS = 2_000  # pairs that are verified together
+_BLOCK_BYTES = 24 << 20  # of vectors; a cell has those of two blocks
 _CELLS = 64  # of the smallest sketch; longer texts have up to eight times as many
 _MIX = tuple(map(np.uint64, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 29, 32)))
 
@@ -270,23 +270,43 @@ def _pairs(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.R
 
 
 def _verified(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """``a``, ``b`` of rows (a, b, and the terms and weights of both) that reach the threshold."""
-    for whole in batches:
-        for k in range(0, whole.num_rows, _PART_PAIRS):
-            b = whole.slice(k, _PART_PAIRS)
-            term, weight, pair = [], [], []
-            for terms, weights in ((2, 3), (4, 5)):
-                own = b.column(terms).to_pylist()
-                term.append(np.frombuffer(b"".join(own), np.uint64))
-                weight.append(np.frombuffer(b"".join(b.column(weights).to_pylist()), np.float64))
-                pair.append(np.repeat(np.arange(len(own)), [len(x) // 8 for x in own]))
-            h, w, p = map(np.concatenate, (term, weight, pair))
-            order = np.lexsort((h, p))
-            h, w, p = h[order], w[order], p[order]
-            both = np.flatnonzero((h[1:] == h[:-1]) & (p[1:] == p[:-1]))
-            cosine = np.bincount(p[both], w[both] * w[both + 1], b.num_rows)
-            ok = pa.array(np.flatnonzero(cosine >= threshold - 1e-9))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(ok), b.column(1).take(ok)], names=["a", "b"])
+    """``a``, ``b`` of pairs that reach the threshold. Rows come by cell: first the vectors (``a``,
+    ``terms``, ``weights``) that the cell's pairs need, then the pairs, which have a ``b``."""
+    cell, terms, weights = None, {}, {}
+    for batch in batches:
+        a, b = [], []
+        for at, x, y, t, w in zip(*(c.to_pylist() for c in batch.columns)):
+            if at != cell:
+                cell, terms, weights = at, {}, {}
+            if y is None:
+                terms[x], weights[x] = np.frombuffer(t, np.uint64), np.frombuffer(w, np.float64)
+                continue
+            own, other = terms[x], terms[y]
+            if not len(own):
+                continue
+            place = np.minimum(own.searchsorted(other), len(own) - 1)
+            same = own[place] == other
+            if weights[x][place[same]] @ weights[y][same] >= threshold - 1e-9:
+                a.append(x)
+                b.append(y)
+        kind = batch.schema.field(1).type
+        yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], names=["a", "b"])
+
+
+def _verify(pairs: DataFrame, homes: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """Pairs that reach the threshold. Texts are dealt into blocks, pairs into the cells of two blocks,
+    and a vector goes once to every cell that needs it, however many pairs it has there. Partners
+    mostly share a home, and so a block."""
+    kind = pairs.schema["a"].dataType.simpleString()
+    size = vectors.agg(F.sum(F.octet_length("terms") + F.octet_length("weights"))).first()[0] or 0
+    blocks = 1 + size // _BLOCK_BYTES
+    block = lambda c: homes.select(F.col("id").alias(c), F.pmod("home", F.lit(blocks)).alias("block_" + c))
+    cells = pairs.join(block("a"), "a").join(block("b"), "b").select((F.col("block_a") * blocks + F.col("block_b")).alias("cell"), "a", "b")
+    cells = materialised(cells)
+    need = cells.select("cell", F.col("a").alias("id")).unionAll(cells.select("cell", F.col("b").alias("id"))).distinct()
+    sent = need.join(vectors, "id").select("cell", F.col("id").alias("a"), F.lit(None).cast(kind).alias("b"), "terms", "weights")
+    rows = sent.unionByName(cells, allowMissingColumns=True).repartition("cell").sortWithinPartitions("cell", F.col("b").isNotNull())
+    return rows.mapInArrow(lambda batches: _verified(batches, threshold), f"a {kind}, b {kind}")
 
 
 def near_pairs(words: DataFrame, *, threshold: float, max_terms: int = 4_000_000) -> DataFrame:
@@ -319,12 +339,11 @@ def near_pairs(words: DataFrame, *, threshold: float, max_terms: int = 4_000_000
     lists = postings.repartition("term").sortWithinPartitions("term")
     met = lists.mapInArrow(lambda batches: _pairs(batches, threshold), f"a {kind}, b {kind}")
     pairs = materialised(met.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    ids = materialised(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct())
-    some = words.join(bounded_broadcast(ids), "id", "left_semi").select("id", word_hashes(F.col("words")).alias("words"))
+    ends = pairs.unionAll(pairs.select("b", "a")).groupBy(F.col("a").alias("id")).agg(F.min("b").alias("other"))
+    homes = materialised(ends.select("id", F.xxhash64(F.least("id", "other")).alias("home")))
+    some = words.join(bounded_broadcast(homes.select("id"), 500_000), "id", "left_semi").select("id", word_hashes(F.col("words")).alias("words"))
     vectors = materialised(mapped(some, lambda parts: _vectors(parts, n), f"id {kind}, terms binary, weights binary"))
-    side = lambda c: vectors.select(F.col("id").alias(c), F.col("terms").alias("terms_" + c), F.col("weights").alias("weights_" + c))
-    whole = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "terms_a", "weights_a", "terms_b", "weights_b")
-    return checkpointed(whole.mapInArrow(lambda batches: _verified(batches, threshold), f"a {kind}, b {kind}"))
+    return checkpointed(_verify(pairs, homes, vectors, threshold))
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
